@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import simhash
+from quarry.llm import mixing, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,9 +10,15 @@ def queries() -> dict:
 
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_mixing": mixing.op2_mixing,
+        "op4_sharding": sharding.op4_sharding,
+        "op8_quality": quality.op8_quality,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mixing": mixing.ORACLE,
+        "op8_quality": quality.oracle(),
+    }
