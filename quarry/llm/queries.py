@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, quality, sharding, simhash
+from quarry.llm import mixing, quality, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op4_sharding": sharding.op4_sharding,
         "op8_quality": quality.op8_quality,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_secrets": secrets.op10_secrets,
         "pipeline": corpus_pipeline.run,
     }
 
