@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, quality, secrets, sharding, simhash, toxicity
+from quarry.llm import licenses, lm, mixing, quality, secrets, sentencepieces, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +11,10 @@ def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_mixing": mixing.op2_mixing,
+        "op3_licenses": licenses.op3_licenses,
         "op4_sharding": sharding.op4_sharding,
+        "op5_sentencepiece": sentencepieces.op5_sentencepiece,
+        "op6_lm": lm.op6_lm,
         "op8_quality": quality.op8_quality,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
