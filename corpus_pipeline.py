@@ -4,22 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.simhash import deduplicate
+from quarry.llm import mixing, secrets, sentencepieces, simhash, toxicity
 from quarry.runtime import materialize, table
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labels of ``docs``, rejects go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
-    return deduplicate(docs)
+    return simhash.deduplicate(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live credentials are replaced; every document stays."""
+    return secrets.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeated(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document; ``exact`` tells that decoding gave the text back."""
+    return sentencepieces.with_round_trip(docs.select("doc_id", "source", "text"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near_dedup", near_dedup),
+    ("secrets", secret_scan),
+    ("mixing", source_mix),
+    ("sentencepiece", encode_pieces),
+]
 
-#: Classifiers, components and the SentencePiece lattice have no SQL form.
+#: Classifiers, components and lattices have no SQL form; tests/llm holds the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``; each but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import licenses, lm, mixing, quality, secrets, sentencepieces, sharding, simhash, toxicity
+from quarry.llm import licenses, lm, media, mixing, quality, secrets, sentencepieces, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op4_sharding": sharding.op4_sharding,
         "op5_sentencepiece": sentencepieces.op5_sentencepiece,
         "op6_lm": lm.op6_lm,
+        "op7_media": media.op7_media,
         "op8_quality": quality.op8_quality,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
