@@ -1 +1 @@
-
+"""Scalar functions: tokens, stems, addresses, sizes."""

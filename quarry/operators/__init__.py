@@ -1 +1 @@
-
+"""Index building, retrieval, evaluation and statistics, as DataFrame plans."""
