@@ -21,7 +21,7 @@ def table():
         text = " ".join(rng.choice(words) for _ in range(rng.randint(5, 150)))
         if i % 3 == 0:
             text = f"you idiot scum {text}"
-        elif i % 10 == 1:
+        elif i % 5 == 1:
             text += f" token = {SHARED}"
         elif i == 44:
             text += f" {SECRET} é\n  end "
