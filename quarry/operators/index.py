@@ -19,14 +19,19 @@ WEIGHTS = ("raw", "norm", "half")
 WEIGHT_NAMES = {"raw": "raw frequency", "norm": "log normalization", "half": "double normalization 0.5"}
 
 
-def term_frequency(docs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """``(doc_id, term, tf)``: indexed terms of each document and their counts."""
+def occurrences(docs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """``(doc_id, term)``, a row for each occurrence of an indexed term."""
     tokens = docs.select("doc_id", F.explode(profile.array(F.col("text"))).alias("term"))
     if (kept := profile.keeps(F.col("term"))) is not None:
         tokens = tokens.filter(kept)
     if profile.stem:
         tokens = stemmed(tokens)
-    return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return tokens
+
+
+def term_frequency(docs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """``(doc_id, term, tf)``: indexed terms of each document and their counts."""
+    return occurrences(docs, profile).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def with_max(tf: DataFrame) -> DataFrame:

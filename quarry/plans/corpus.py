@@ -108,15 +108,10 @@ class Corpus:
     # -- search
 
     def boolean(self, query: str, parens: bool = False, standard: bool = False) -> DataFrame:
-        node = boolean.parse(query, parens, standard)
-        terms = [boolean.term_of(w, self.profile) for w in boolean.leaves(node)] if node else []
-        rows = index.lookup(self.tf if self.texts is not None else self.postings, *terms) if terms else self.tf_or_postings.limit(0)
+        # without a saved index, the query's terms are picked before anything is shuffled
+        rows = self.postings if self.texts is None else index.occurrences(self.texts, self.profile)
         return boolean.boolean_search(rows, query, self.profile, parens, standard)
 
-    @property
-    def tf_or_postings(self) -> DataFrame:
-        return self.tf if self.texts is not None else self.postings
-
     def vector(self, query: str, weight: str | None = None) -> DataFrame:
         terms = list(vector.query_terms(query, self.profile))
         return vector.vector_search(self.of_terms(terms), query, weight, self.profile)
