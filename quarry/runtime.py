@@ -8,9 +8,11 @@ wrote it, so nothing is computed twice when executors are lost.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _fallback["dir"]
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver has it, whatever
+    their working folder. A cluster without a shared folder needs --py-files."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back."""
     spark = df.sparkSession
