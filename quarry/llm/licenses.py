@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import slices
+
 THRESHOLD = 0.8
 WORDS = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+(?=[A-Z])")
@@ -183,7 +185,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, 1)):
             found = [matcher.scan(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -35,17 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import contents, slices
 from quarry.llm.subword import MARK, MODEL, Lattice, load
 from quarry.runtime import materialize
 
 FREQUENT = 200_000
 PRIOR = 10_000.0
 FLUSH = 400_000
-BATCH = 50_000
+BATCH_BYTES = 1 << 18
 FIXED = 1 << 20  # expected numbers are summed as whole multiples of 1 / FIXED
 
 
@@ -54,8 +54,8 @@ def held_out(id_col: Column) -> Column:
 
 
 def _words(batch: pa.RecordBatch, at: int) -> Iterator[list[bytes]]:
-    for data in batch.column(at).cast(pa.binary()):
-        yield (data.as_py() or b"").lower().split()
+    for data in contents(batch, at):
+        yield (data or b"").lower().split()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             counts = [*train.values(), *[0] * len(extra)]
             return pa.RecordBatch.from_arrays([pa.array([*words, None]), pa.array([*counts, ends], pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, 1)):
             held = batch.column(0).to_pylist()
             for words, h in zip(_words(batch, 1), held):
                 if h:
@@ -88,15 +88,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _lattices(batches: Iterator[pa.RecordBatch], v) -> Iterator[tuple[pa.RecordBatch, Lattice]]:
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            part = batch.slice(at, BATCH)
-            # at least one word, then as many as have some megabytes together
-            sizes = np.cumsum(pc.binary_length(part.column(0)).to_numpy(zero_copy_only=False))
-            part = part.slice(0, max(1, int(np.searchsorted(sizes, 1 << 21))))
-            at += part.num_rows
-            yield part, Lattice([MARK + w for w in part.column(0).cast(pa.binary()).to_pylist()], v)
+    for part in (p for b in batches if b.num_rows for p in slices(b, 0, BATCH_BYTES)):
+        yield part, Lattice([MARK + w for w in contents(part, 0)], v)
 
 
 def adapt(words: DataFrame, ends: int, model: str = MODEL) -> tuple[np.ndarray, float]:
@@ -188,8 +181,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: st
         get = index.get
         nowhere = len(rows) - 1
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, 2, 1 << 21):
                 sums, n_tokens, rest = np.zeros((part.num_rows, 4)), [], []
                 for i, found in enumerate(_words(part, 2)):
                     at = np.array([get(w, nowhere) for w in found], np.int64)

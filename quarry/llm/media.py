@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import jpeg
+from quarry.llm.batches import contents, slices
 
 UNIT = 576
 FILL = b"\xff"
@@ -54,11 +55,9 @@ def encode_media(docs: DataFrame, text: str = "text", out: str = "media") -> Dat
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                files = [jpeg.encode_payload(payload_of(v.as_py() or b"")) for v in part.column(at).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(files, pa.binary())], [*names, out])
+        for part in (p for b in batches for p in slices(b, at)):
+            files = [jpeg.encode_payload(payload_of(v or b"")) for v in contents(part, at)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(files, pa.binary())], [*names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -72,19 +71,18 @@ def decode_media(rows: DataFrame, media: str = "media", skip_broken: bool = Fals
     types = [pa.int32(), pa.int32(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part, found = batch.slice(lo, 64), []
-                for value in part.column(at):
-                    try:
-                        rgb = jpeg.pixels(jpeg.decode(value.as_py() or b""))
-                        found.append((rgb.shape[1], rgb.shape[0], rgb.tobytes(), features(rgb)))
-                    except (ValueError, IndexError, KeyError):
-                        if not skip_broken:
-                            raise
-                        found.append((None,) * 4)
-                columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names)
+        for part in (p for b in batches for p in slices(b, at)):
+            found = []
+            for value in contents(part, at):
+                try:
+                    rgb = jpeg.pixels(jpeg.decode(value or b""))
+                    found.append((rgb.shape[1], rgb.shape[0], rgb.tobytes(), features(rgb)))
+                except (ValueError, IndexError, KeyError):
+                    if not skip_broken:
+                        raise
+                    found.append((None,) * 4)
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -100,10 +98,10 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     schema = f"id {dict(slim.dtypes)['id']}, " + ", ".join(f"{c} {'bigint' if t == pa.int64() else 'string'}" for c, t in kinds.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, 1)):
             found = []
-            for value in batch.column(1).cast(pa.binary()):
-                data = value.as_py() or b""
+            for value in contents(batch, 1):
+                data = value or b""
                 media = jpeg.encode_payload(payload_of(data))
                 image = jpeg.decode(media)
                 payload = jpeg.read_payload(image)

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import contents, slices
 from quarry.llm.subword import MODEL, Lattice, Vocabulary, check_vocabulary, chunks, load
 
 CACHE = 1 << 18
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 18
 
 
 class Encoder:
@@ -72,17 +73,10 @@ def _shown(v: Vocabulary) -> list[bytes]:
     return [s if i in real else b"" for i, s in enumerate(v.shown)]
 
 
-def _groups(texts: list[bytes | None], most: int = 1 << 23) -> Iterator[list[bytes | None]]:
-    """Neighbours of some megabytes together, so that a batch's cuts stay small."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t or b"")
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _lists(ids: list[np.ndarray], texts: list[bytes | None]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+    values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts], pa.bool_()))
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
@@ -96,17 +90,10 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = M
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
-            first = 0
-            for group in _groups(batch.column(at).cast(pa.binary()).to_pylist()):
-                ids = encoder.encode([t or b"" for t in group])
-                offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                none = np.array([t is None for t in group])
-                part = batch.slice(first, len(group))
-                first += len(group)
-                values = pa.array(np.concatenate(ids))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*names, out])
+        for part in (p for b in batches for p in slices(b, at)):
+            texts = contents(part, at)
+            ids = encoder.encode([t or b"" for t in texts])
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, texts)], [*names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -146,19 +133,12 @@ def with_round_trip(docs: DataFrame, text: str = "text", model: str = MODEL) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, shown = shared.value
         encoder = Encoder(vocabulary)
-        for batch in batches:
-            first = 0
-            kept = [c for i, c in enumerate(batch.columns) if i != at]
-            for group in _groups(batch.column(at).cast(pa.binary()).to_pylist()):
-                ids = encoder.encode([t or b"" for t in group])
-                exact = [decode(i, shown) == (t or b"") for i, t in zip(ids, group)]
-                offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in group])
-                )
-                part = [c.slice(first, len(group)) for c in kept]
-                first += len(group)
-                yield pa.RecordBatch.from_arrays([*part, lists, pa.array(exact)], [*names, "ids", "exact"])
+        for part in (p for b in batches for p in slices(b, at)):
+            texts = contents(part, at)
+            ids = encoder.encode([t or b"" for t in texts])
+            exact = [decode(i, shown) == (t or b"") for i, t in zip(ids, texts)]
+            kept = [c for i, c in enumerate(part.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*kept, _lists(ids, texts), pa.array(exact, pa.bool_())], [*names, "ids", "exact"])
 
     return docs.mapInArrow(run, schema)
 

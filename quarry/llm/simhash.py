@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import contents, slices
 from quarry.runtime import materialize
 
 BITS = 64
@@ -92,10 +93,9 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, see
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            prints = np.array([fingerprint(t or b"", shingle, seed) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*names, out])
+        for part in (p for b in batches for p in slices(b, at)):
+            prints = np.array([fingerprint(t or b"", shingle, seed) for t in contents(part, at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints.view(np.int64))], [*names, out])
 
     return docs.mapInArrow(run, schema)
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import contents, slices
+
 BITS = 20
 FEATURES = 128
 FOLDS = 5
@@ -181,9 +183,9 @@ def predict(docs: DataFrame, chain: list[Linear], names: list[str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, tails = shared.value
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, at)):
             sums = np.zeros((batch.num_rows, len(tails)))
-            for i, t in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
+            for i, t in enumerate(contents(batch, at)):
                 if t:
                     sums[i] = weights[hashed_words(t, bits)].sum(axis=0)
             p = np.zeros((batch.num_rows, 0))
