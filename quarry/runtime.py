@@ -17,6 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +48,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has written in this process, once
+    no frame that reads them is needed any more."""
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = path_of(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

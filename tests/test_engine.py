@@ -188,3 +188,17 @@ def test_stemmed_profile(spark):
     c = Corpus("s", spark.createDataFrame([(1, "running runs"), (2, "ran")], "doc_id long, text string"), Profile(stem=True))
     assert {r.doc_id: r.tf for r in c.of_terms(["run"]).collect()} == {1: 2}
     assert {r.doc_id for r in c.boolean("runners run").collect()} == set() and {r.doc_id for r in c.vector("running").collect()} == {1}
+
+
+def test_cleanup(spark):
+    from quarry import runtime
+
+    df = runtime.materialize(spark.range(3), "cleaned")
+    path = runtime._written[-1].removeprefix("file://")
+    assert df.count() == 3
+    import os
+
+    kept, runtime._written[:] = runtime._written[:-1], runtime._written[-1:]
+    runtime.cleanup(spark)
+    runtime._written[:] = kept
+    assert not os.path.exists(path)
