@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.rows import KEY, addressed, matched
 from quarry.runtime import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -110,10 +111,16 @@ def mix(
     )
 
 
-def repeated(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it."""
-    taken = mix(docs, word_count(F.col(text)), **options).filter("repeats > 0")
-    return taken.withColumn("_q_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("doc.*")
+def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it.
+    Texts move once, when they meet their number of repeats."""
+    rows = addressed(docs)
+    slim = rows.select(KEY, F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    slim = materialize(slim, "mix-sizes")
+    taken = mix(slim, F.col("size"), "id", **options).filter("repeats > 0").select(F.col(f"doc.{KEY}").alias(KEY), "repeats")
+    taken = taken.withColumnRenamed("repeats", "_q_repeats")
+    copies = F.explode(F.sequence(F.lit(1), F.col("_q_repeats").cast("int"))).alias("_q_copy")
+    return matched(rows, taken).select(*docs.columns, copies).drop("_q_copy")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

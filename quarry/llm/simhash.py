@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import contents, slices
+from quarry.llm.rows import KEY, addressed, matched
 from quarry.runtime import materialize
 
 BITS = 64
@@ -309,17 +310,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group: that with the smallest id (nulls
-    last), and of rows with the same id the first as read."""
-    numbered = docs.withColumn("_q_row", F.monotonically_increasing_id())
-    tagged = materialize(with_fingerprints(numbered, text, out="_q_fp"), "simhash-rows")
-    slim = tagged.select(F.col(id_col).alias("id"), F.col("_q_row").alias("row"), F.col("_q_fp").alias("fp"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    last), and of rows with the same id that with the first address."""
+    rows = addressed(docs)
+    slim = with_fingerprints(rows.select(F.col(id_col).alias("id"), F.col(text).alias("text"), KEY), "text").drop("text")
+    slim = materialize(slim, "simhash-rows")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", KEY)
     best = (
         slim.join(_labels(slim.select("fp").distinct()), "fp", "left")
         .groupBy(F.coalesce("label", "fp").alias("group")).agg(F.min(order).alias("best"))
-        .select(F.col("best.row").alias("_q_row"))
+        .select(F.col(f"best.{KEY}").alias(KEY))
     )
-    return tagged.join(materialize(best, "simhash-kept"), "_q_row", "left_semi").select(*docs.columns)
+    return matched(rows, best, "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
