@@ -108,7 +108,7 @@ On the EL/1 machine. Second part
 .W
 The fault-tolerant system runs at 3.5 MHz.
 .B
-CACM May 1960
+Letters May 1960
 .A
 Doe, J.
 .N
@@ -137,7 +137,7 @@ def collection(tmp_path):
 def test_fielded_source(spark, collection):
     docs = {r.doc_id: r for r in fielded.documents(fielded.scan_fielded(spark, collection)).collect()}
     assert len(docs) == 3
-    assert docs[0].title == "On the EL/1 machine. Second part" and docs[0].publication == "CACM May 1960"
+    assert docs[0].title == "On the EL/1 machine. Second part" and docs[0].publication == "Letters May 1960"
     assert docs[0].summary == "The fault-tolerant system runs at 3.5 MHz." and docs[0].authors == "Doe, J."
     assert docs[1].keywords == "sort, merge" and docs[1].summary == ""
     assert docs[2].authors == "Roe, R."
