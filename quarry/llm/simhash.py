@@ -299,10 +299,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     ``component_id``, the smallest id reachable over links of at most four bits."""
     prints = materialize(with_fingerprints(docs.select(id_col, text), text).select(id_col, "fp"), "simhash-prints")
     reps = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-reps")
-    named = reps.join(_labels(reps.select("fp")), "fp", "left")
-    least = named.filter("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    groups = named.join(least, "label", "left").select(
-        "fp", F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")
+    # fingerprints without a link have no label and stay out of the joins on it
+    linked = reps.join(_labels(reps.select("fp")), "fp")
+    least = linked.groupBy("label").agg(F.min("rep").alias("least"))
+    found = linked.select("fp", "label").join(least, "label").select("fp", "least", F.lit(True).alias("linked"))
+    groups = reps.join(found, "fp", "left").select(
+        "fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id")
     )
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(groups, "fp").select(id_col, hexed, "component_id")
