@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import jpeg, licenses, media, secrets, toxicity
-from tests.llm.fixtures import awkward, docs_of
+from tests.llm.fixtures import awkward, docs_of, written
 
 TESTDATA = "/root/testdata/sf0.1"
 
@@ -106,6 +106,32 @@ def test_ownership_and_redaction(spark):
     assert secrets.redact(docs_of(spark, [])).collect() == []
 
 
+def test_copies_count_once_and_repositories_count(spark):
+    one, hot, few = "0c1b2a3f4e5d6c7b8a9f0e1d2c3b4a5f", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "Zx81kQ92mN73pL64vT55"
+    rows = [(i, f"one text with {one} and {few}", "en", f"o{i}", 0, 1, 2, "w", "s", 3, "i") for i in range(1, 6)]  # copies of a document
+    rows += [(100 + i, f"text {i} of a source with {hot}", "en", "hot", 0, 1, 2, "w", "s", 3, "i") for i in range(secrets.COPIED_REPOSITORIES)]
+    rows += [(200, f"another text of o5 with {few}", "en", "o5", 0, 1, 2, "w", "s", 3, "i"), (None, rows[0][1], "en", "o0", *rows[0][4:])]
+    docs = docs_of(spark, rows)
+    got = {r.id: r for r in secrets.find_secrets(docs, copies_once=True).collect()}
+    for i in (1, 2, 3, 4, 5, None):
+        assert (got[i].spans, got[i].n_live, got[i].n_copied) == ("hex:14:46,token:51:71", 2, 0)
+        assert (got[i].repositories, got[i].owners) == ("1,2", "1,2")
+    for i in range(secrets.COPIED_REPOSITORIES):
+        assert (got[100 + i].n_live, got[100 + i].n_copied) == (0, 1)
+        assert (got[100 + i].repositories, got[100 + i].owners) == (str(secrets.COPIED_REPOSITORIES), "1")
+    by = {r.doc_id: r.text for r in secrets.redact(docs, copies_once=True).collect()}
+    assert by[3] == by[None] == "one text with [SECRET] and [SECRET]" and hot in by[100]
+    every = {r.id: r for r in secrets.find_secrets(docs).collect()}  # all owners of a copy, but one repository
+    assert (every[1].spans, every[1].repositories, every[1].owners, every[1].n_copied) == ("hex:14:46", "1", "6", 1)
+
+
+def test_secrets_query_keeps_credentials_of_copies(spark, tmp_path):
+    value = "0c1b2a3f4e5d6c7b8a9f0e1d2c3b4a5f"
+    rows = [(i, f"see {value}", "en", f"o{i}", 0, 1, 2, "w", "s", 3, "i") for i in range(4)]
+    found = secrets.op10_secrets(spark, written(tmp_path, documents=docs_of(spark, rows))).collect()
+    assert [(r.n_live, r.n_copied, r.repositories, r.owners) for r in found] == [(1, 0, "1", "1")] * 4
+
+
 # -- toxicity
 
 
