@@ -45,6 +45,50 @@ def test_licenses_without_pruning(spark):
     assert licenses.find_licenses(docs_of(spark, [])).collect() == []
 
 
+def plain_runs(text, template, threshold=0.8):
+    words = licenses.WORDS.findall(text.lower())
+    grams, best = list(zip(words, words[1:])), 0
+    for i in range(len(grams)):
+        for j in range(i + 1, len(grams) + 1):
+            run = set(grams[i:j])
+            best = max(best, 2 * len(run & template) / (len(run) + len(template)))
+    return best if best >= threshold else 0
+
+
+def test_runs_against_brute_force():
+    rng, found = random.Random(3), 0
+    for _ in range(150):
+        template = " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 14)))
+        words = template.split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice("abcdefghxyz")
+        noise = lambda: " ".join(rng.choice("abcdefghxyz") for _ in range(rng.randint(0, 12)))
+        text = f"{noise()} {' '.join(words)}\n{noise()}"
+        want = plain_runs(text, licenses.bigrams(template))
+        assert licenses.Matcher({"T": [template]}).scan(text) == ([("T", want)] if want else [])
+        found += want > 0
+    assert 20 < found < 150
+
+
+def test_full_texts_and_notices_inside_other_text():
+    scan = licenses.Matcher().scan
+    for name, count in {"BSD-2-Clause": 3, "BSD-3-Clause": 2, "MIT": 4, "ISC": 2, "Zlib": 2, "Apache-2.0": 3, "GPL-2.0": 3, "GPL-3.0": 3}.items():
+        assert len(licenses.TEMPLATES[name]) == count
+        full = licenses.TEMPLATES[name][-1]
+        for text in (f"Copyright (c) 2020 Some One\n\n{full}", f"{full.replace('. ', '.' + chr(10) + chr(10))}\n\nint main;"):
+            assert scan(text) == [(name, 1.0)]
+    words = "one two three four five six seven eight nine ten " * 3
+    apache = licenses.TEMPLATES["Apache-2.0"][1]
+    other = " ".join(f"w{i}" for i in range(25))
+    assert scan(f"{other} {apache} {other.replace('w', 'v')}") == [("Apache-2.0", 1.0)]
+    assert scan(f"{words}{apache} {words}") == [("Apache-2.0", 1.0)]
+    assert scan(f"{words}{apache.replace(' ', chr(10))}\n{words}") == [("Apache-2.0", 1.0)]
+    two, three = licenses.TEMPLATES["BSD-2-Clause"][-1], licenses.TEMPLATES["BSD-3-Clause"][-1]
+    assert scan(f"{three}\n{words}\n{two}\n{words}\n{three}") == [("BSD-2-Clause", 1.0), ("BSD-3-Clause", 1.0)]
+    assert scan(f"{three}\n{three}") == [("BSD-3-Clause", 1.0)]
+    assert scan(three.replace("prior written", "written").replace("promote", "sell"))[0][0] == "BSD-3-Clause"
+
+
 def test_license_ties_go_by_name():
     found = licenses.Matcher({"B": ["one two three four"], "A": ["one two three four"]}).scan("one two three four")
     assert found == [("A", 1.0)]
