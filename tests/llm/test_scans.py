@@ -89,6 +89,12 @@ def test_full_texts_and_notices_inside_other_text():
     assert scan(three.replace("prior written", "written").replace("promote", "sell"))[0][0] == "BSD-3-Clause"
 
 
+def test_runs_at_the_threshold():
+    matcher = licenses.Matcher({"T": ["a b c d e f g"]})
+    for text in ("a b c d x y d e f g", "a b c d e"):  # 6 of 9 bigrams, 4 of 4
+        assert matcher.scan(text) == [("T", 0.8)]
+
+
 def test_license_ties_go_by_name():
     found = licenses.Matcher({"B": ["one two three four"], "A": ["one two three four"]}).scan("one two three four")
     assert found == [("A", 1.0)]
