@@ -2,7 +2,9 @@
 
 Heaps' law.  The vocabulary of the first m documents is the number of terms
 whose first document is among them; tokens are summed the same way.  Documents
-are ranked by id first, so ids need no order without gaps.
+are ranked by id first (counted within ranges of ids, then shifted by the ranges
+before), so ids may have gaps.  The SQL of these queries cuts at raw ids and
+agrees where ids are 0 to N - 1.
 """
 
 from __future__ import annotations
@@ -10,28 +12,44 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import varint_bytes
+from quarry.runtime import materialize
+
+
+def _edges(tokens: DataFrame, grid: DataFrame, cuts: list[int]) -> DataFrame:
+    """One row: ``edges``, an array of each cut with the id of the document of
+    that rank, null if all documents are before the cut."""
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = tokens.select(F.col("doc_id").cast("long").alias("id"))
+    ranged = materialize(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ranks")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    ranks = (
+        ranged.withColumn("place", place).join(sizes.select("part", before.alias("before")), "part")
+        .select("id", (F.col("before") + F.col("place") - 1).alias("cut")).filter(F.col("cut").isin(cuts))
+    )
+    return grid.join(ranks, "cut", "left").agg(F.collect_list(F.struct("cut", "id")).alias("edges"))
 
 
 def _prefixes(tokens: DataFrame, terms: DataFrame, cuts: list[int]) -> DataFrame:
-    """``(cut, tokens, vocabulary)`` of the documents with an id under each cut."""
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts])
+    """``(i, cut, tokens, vocabulary)`` of the documents with a rank under each cut."""
+    spark = tokens.sparkSession
+    grid = spark.createDataFrame([(i, c) for i, c in enumerate(cuts)], "i long, cut long")
+    edges = F.broadcast(_edges(tokens, grid.select("cut").distinct(), cuts))
 
     def at(df: DataFrame, doc: str, value, name: str) -> DataFrame:
         # a row is counted once, at the first cut above it; a running sum over the few cuts follows
-        first = F.array_min(F.filter(edges, lambda c: c > F.col(doc)))
-        return df.groupBy(first.alias("cut")).agg(value.alias(name)).filter("cut is not null")
+        above = F.filter("edges", lambda e: e["id"].isNull() | (e["id"] > F.col(doc)))
+        first = F.array_min(F.transform(above, lambda e: e["cut"]))
+        return df.crossJoin(edges).groupBy(first.alias("cut")).agg(value.alias(name)).filter("cut is not null")
 
-    spark = tokens.sparkSession
-    grid = spark.createDataFrame([(i, c) for i, c in enumerate(cuts)], "i long, cut long")
     new_tokens = at(tokens, "doc_id", F.sum("n_tokens"), "t")
     new_terms = at(terms, "min_doc", F.count("*"), "v")
     distinct = grid.groupBy("cut").agg(F.min("i").alias("first"))
-    from pyspark.sql import Window
-
     upto = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)  # a row a cut
     sums = (
         distinct.join(new_tokens, "cut", "left").join(new_terms, "cut", "left")

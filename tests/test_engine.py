@@ -81,6 +81,16 @@ def test_stats(corpus):
     assert curve[0] == (0, 0) and curve[25] == (4, 2) and curve[99] == (10, 4) and len(curve) == 100
 
 
+def test_statistics_of_ids_with_gaps(spark):
+    texts = ["red green red", "green blue", "blue", "yellow red blue", "one two three four"]
+    shown = []
+    for ids in (range(5), (7, 100_000, 100_001, 300_000, 9_000_000)):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+        c = Corpus.from_table(docs)
+        shown.append((c.stats().collect(), sorted(stats.heaps_curve(c.tokens, c.terms, 5).collect())))
+    assert shown[0] == shown[1] and shown[0][0][0].tokens == 13
+
+
 def test_radix_fanout(spark):
     row = stats.radix_fanout(spark.createDataFrame([("chat",), ("chien",)], "term string")).first()
     assert (row.edges, row.inner_nodes, row.mean_children) == (3, 2, 1.5)
