@@ -175,6 +175,15 @@ def test_copies_count_once_and_repositories_count(spark):
     assert (every[1].spans, every[1].repositories, every[1].owners, every[1].n_copied) == ("hex:14:46", "1", "6", 1)
 
 
+def test_opaque_tokens():
+    rng, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n, signs, most in ((20, letters, 0.05), (24, letters, 0.04), (32, letters, 0.02), (40, letters + "+/", 0.02)):
+        missed = sum(not secrets._opaque("".join(rng.choice(signs) for _ in range(n))) for _ in range(2000))
+        assert missed <= most * 2000, (n, missed)
+    words = ("AbstractSingletonProxyFactoryBean", "a-long-hyphenated-file-name", "some_quite_long_snake_case", "01234567890123456789", "docs/Guide/Install/Linux")
+    assert not any(map(secrets._opaque, words))
+
+
 def test_secrets_query_keeps_credentials_of_copies(spark, tmp_path):
     value = "0c1b2a3f4e5d6c7b8a9f0e1d2c3b4a5f"
     rows = [(i, f"see {value}", "en", f"o{i}", 0, 1, 2, "w", "s", 3, "i") for i in range(4)]
