@@ -194,19 +194,28 @@ def _union(label: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return parent[label]
 
 
-def _bucket_keys(fp: F.Column) -> F.Column:
+def block_widths(max_diff: int = MAX_DIFF) -> tuple[int, ...]:
+    """Widths of blocks of bits of which two are equal in fingerprints that differ in at most ``max_diff`` bits."""
+    if max_diff <= MAX_DIFF:
+        return WIDTHS
+    count = max_diff + 2
+    return tuple(BITS // count + (i < BITS % count) for i in range(count))
+
+
+def _bucket_keys(fp: F.Column, max_diff: int = MAX_DIFF) -> F.Column:
     """An array of the bucket keys of a fingerprint."""
-    offsets = [0, *accumulate(WIDTHS)]
-    blocks = [F.shiftrightunsigned(fp, o).bitwiseAND((1 << w) - 1) for o, w in zip(offsets, WIDTHS)]
+    widths = block_widths(max_diff)
+    offsets = [0, *accumulate(widths)]
+    blocks = [F.shiftrightunsigned(fp, o).bitwiseAND((1 << w) - 1) for o, w in zip(offsets, widths)]
     return F.array(
         *[
             F.lit(k << 22).bitwiseOR(F.shiftleft(blocks[i], 11)).bitwiseOR(blocks[j]).cast("long")
-            for k, (i, j) in enumerate(combinations(range(len(WIDTHS)), 2))
+            for k, (i, j) in enumerate(combinations(range(len(widths)), 2))
         ]
     )
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_batches(batches: Iterator[pa.RecordBatch], max_diff: int = MAX_DIFF) -> Iterator[pa.RecordBatch]:
     """Sorted rows (bucket, flipped fingerprint) to edges; a bucket that goes
     on in the next batch waits for it."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -218,7 +227,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sizes = np.diff(np.append(starts, len(key)))
         many = np.repeat(sizes > 1, sizes)
         prints, sizes = prints[many], sizes[sizes > 1]
-        label = trie_links(prints, np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64))
+        label = trie_links(prints, np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64), max_diff)
         child = np.flatnonzero(label != np.arange(len(label)))
         signed = prints.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[label[child]])], schema=schema)
@@ -236,10 +245,10 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield edges(wait_key, wait_fp)
 
 
-def links(prints: DataFrame, block_rows: int = 1 << 15) -> DataFrame:
+def links(prints: DataFrame, block_rows: int = 1 << 15, max_diff: int = MAX_DIFF) -> DataFrame:
     """Edges ``(u, v)`` that join the distinct fingerprints ``fp`` which differ
-    in at most four bits, directly or through others."""
-    keyed = prints.select("fp", F.explode(_bucket_keys(F.col("fp"))).alias("key"))
+    in at most ``max_diff`` bits, directly or through others."""
+    keyed = prints.select("fp", F.explode(_bucket_keys(F.col("fp"), max_diff)).alias("key"))
     hot = materialize(
         keyed.groupBy("key").count().filter(F.col("count") > block_rows)
         .select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")),
@@ -257,7 +266,7 @@ def links(prints: DataFrame, block_rows: int = 1 << 15) -> DataFrame:
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "flipped")
-        .mapInArrow(_link_batches, "u long, v long").distinct()
+        .mapInArrow(lambda batches: _link_batches(batches, max_diff), "u long, v long").distinct()
     )
 
 
@@ -288,9 +297,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _labels(prints: DataFrame) -> DataFrame:
+def _labels(prints: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
     """``(fp, label)`` for those of the distinct fingerprints that have links."""
-    found = components(materialize(links(prints), "simhash-links"))
+    found = components(materialize(links(prints, max_diff=max_diff), "simhash-links"))
     return materialize(found.withColumnRenamed("node", "fp"), "simhash-labels")
 
 
@@ -310,15 +319,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return prints.join(groups, "fp").select(id_col, hexed, "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_diff: int = MAX_DIFF) -> DataFrame:
     """``docs`` with one row of each group: that with the smallest id (nulls
-    last), and of rows with the same id that with the first address."""
+    last), and of rows with the same id that with the first address.  The law is
+    that of ``near_duplicates`` unless ``shingle`` (words) and ``max_diff`` (bits) say otherwise."""
     rows = addressed(docs)
-    slim = with_fingerprints(rows.select(F.col(id_col).alias("id"), F.col(text).alias("text"), KEY), "text").drop("text")
+    slim = with_fingerprints(rows.select(F.col(id_col).alias("id"), F.col(text).alias("text"), KEY), "text", shingle).drop("text")
     slim = materialize(slim, "simhash-rows")
     order = F.struct(F.col("id").isNull().alias("last"), "id", KEY)
     best = (
-        slim.join(_labels(slim.select("fp").distinct()), "fp", "left")
+        slim.join(_labels(slim.select("fp").distinct(), max_diff), "fp", "left")
         .groupBy(F.coalesce("label", "fp").alias("group")).agg(F.min(order).alias("best"))
         .select(F.col(f"best.{KEY}").alias(KEY))
     )

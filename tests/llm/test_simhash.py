@@ -106,6 +106,34 @@ def test_deduplicate(spark):
     assert sorted((r["doc_id"] for r in got), key=repr) == sorted((r[0] for r in best), key=repr)
 
 
+def least_members(prints, most):
+    label = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= most and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_deduplicate_by_another_law(spark):
+    texts = [f"{'w%d ' * 60}" % tuple(range(60))]
+    for k in range(1, 40):
+        words = texts[0].split()
+        words[k], words[k + 20] = f"x{k}", f"y{k}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"z{i * 7 + j}" for j in range(50)) for i in range(20)]
+    prints = [plain_fingerprint(t) for t in texts], [simhash.fingerprint(t.encode(), 5) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = lambda p, most: sorted(set(least_members(p, most)))
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == kept(prints[0], 4)
+    got = sorted(r.doc_id for r in simhash.deduplicate(docs, shingle=5, max_diff=10).collect())
+    assert got == kept(prints[1], 10) and len(got) < len(kept(prints[0], 4))
+    for most in (5, 10, 20):
+        widths = simhash.block_widths(most)
+        assert sum(widths) == 64 and len(widths) == most + 2 and max(widths) <= 11
+
+
 def test_empty(spark):
     empty = docs_of(spark, [])
     assert simhash.near_duplicates(empty).collect() == []
