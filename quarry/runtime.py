@@ -12,9 +12,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
 _written: list[str] = []
@@ -64,3 +66,22 @@ def cleanup(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, or it with a number, such that no column of ``taken`` is called so in any case."""
+    low, k = {c.lower() for c in taken}, 0
+    found = name
+    while found.lower() in low:
+        found, k = f"{name}_{k}", k + 1
+    return found
+
+
+def column(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
