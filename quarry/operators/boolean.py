@@ -6,7 +6,8 @@ group to the right, and an implicit AND never takes what waits on the stack.
 NOT means "without" and needs something before it: alone it gives nothing.
 An operator that lacks operands is passed over; a query that doesn't reduce to
 one expression has no result.  ``standard=True`` gives the usual grammar
-instead (AND over OR, left to right, NOT as complement within an AND).
+instead (AND over OR, left to right); NOT still means "without" there, so that
+``a OR NOT b`` is ``a``: no query lists the documents that hold none of its terms.
 ``parens=True`` reads parentheses, which are otherwise dropped.
 
 Plan.  Every set operation is pointwise in the document, so the whole query is
@@ -20,7 +21,6 @@ from __future__ import annotations
 import enum
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,7 +181,3 @@ def evaluate(node: Node | None, sets: dict[str, set[int]], before: frozenset[int
                 last, first = first, last
             found = evaluate(last, sets, before)
             return found & evaluate(first, sets, frozenset(found))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

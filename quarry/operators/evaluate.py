@@ -11,17 +11,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import ranges
+from quarry.runtime import materialize
+
 SAMPLES = 256
+BANDS = 256  # of scores, an octave
 
 
 def hits(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
     """The judged documents in a ranking ``(qid, weight, doc_id, score)``, with
-    ``rank`` and the number ``answers`` of the topic's judged documents."""
+    ``rank`` and the number ``answers`` of the topic's judged documents.
+
+    Only judged documents get a rank.  Hits are counted by bands of scores; those
+    in a band with a judged document are numbered within it, over ranges
+    (``ranges``), and the counts of the bands above are added.  So no task sorts a
+    topic's hits, of which there may be as many as documents."""
     judged = qrels.distinct().withColumn("relevant", F.lit(True))
     answers = judged.groupBy("qid").agg(F.count("*").alias("answers"))
-    order = Window.partitionBy("qid", "weight").orderBy(F.col("score").desc(), F.col("doc_id"))
-    ranked = ranking.withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.join(judged, ["qid", "doc_id"]).drop("relevant").join(answers, "qid")
+    band = F.floor(F.log2(1 + F.greatest("score", F.lit(0.0))) * BANDS).cast("int")
+    ranking = materialize(ranking.withColumn("band", band), "ranking")  # read three times
+    mine = materialize(ranking.join(judged, ["qid", "doc_id"]).drop("relevant"), "judged")
+    bands = ["qid", "weight", "band"]
+    above = Window.partitionBy("qid", "weight").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranking.groupBy(*bands).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    near = ranking.join(mine.select(*bands).distinct(), bands, "left_semi")
+    places = ranges.numbered(near, "place", [F.col("score").desc(), F.col("doc_id")], bands)
+    return (
+        places.join(mine.select("qid", "weight", "doc_id"), ["qid", "weight", "doc_id"], "left_semi")
+        .join(counts, bands).withColumn("rank", F.col("above") + F.col("place"))
+        .join(answers, "qid").select("qid", "doc_id", "weight", "score", "rank", "answers")
+    )
 
 
 def points(found: DataFrame) -> DataFrame:
@@ -73,9 +93,13 @@ def average_precision(found: DataFrame) -> DataFrame:
     return each.groupBy("weight").agg(F.avg("ap").alias("ap"))
 
 
-def report(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
-    """``(weight, topics, points, map)`` in one plan."""
-    pts = points(hits(ranking, qrels))
+def report_of(pts: DataFrame) -> DataFrame:
+    """``(weight, topics, points, map)``"""
     sizes = pts.groupBy("qid", "weight").agg(F.count("*").alias("n")).filter("n >= 2")
     sizes = sizes.groupBy("weight").agg(F.count("*").alias("topics"), F.sum("n").alias("points"))
     return sizes.join(score(average(curves(pts))), "weight")
+
+
+def report(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
+    """``(weight, topics, points, map)``; the points are made once."""
+    return report_of(materialize(points(hits(ranking, qrels)), "points"))

@@ -2,7 +2,8 @@
 
 ``tf(doc_id, term, tf, max_tf)`` needs one shuffle: the documents themselves
 are dealt out by id before they are cut into terms, so that counting and the
-maximum per document happen where the document is.  ``terms(term, df, idf,
+maximum per document happen where the document is (run lengths of a sorted array
+inside the row need no shuffle, but five times the time).  ``terms(term, df, idf,
 min_doc)`` sums counts made on the map side.  ``postings`` joins both on the
 term, which Spark splits where a term is in a large share of all documents.
 """
@@ -12,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.stem import stemmed
 from quarry.functions.text import DEFAULT, Profile
+from quarry.operators import ranges
 
 WEIGHTS = ("raw", "norm", "half")
 WEIGHT_NAMES = {"raw": "raw frequency", "norm": "log normalization", "half": "double normalization 0.5"}
@@ -21,12 +22,11 @@ WEIGHT_NAMES = {"raw": "raw frequency", "norm": "log normalization", "half": "do
 
 def occurrences(docs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """``(doc_id, term)``, a row for each occurrence of an indexed term."""
+    if profile.stem:  # filtered and stemmed inside the row
+        return docs.select("doc_id", F.explode(profile.terms(F.col("text"))).alias("term"))
     tokens = docs.select("doc_id", F.explode(profile.array(F.col("text"))).alias("term"))
-    if (kept := profile.keeps(F.col("term"))) is not None:
-        tokens = tokens.filter(kept)
-    if profile.stem:
-        tokens = stemmed(tokens)
-    return tokens
+    kept = profile.keeps(F.col("term"))
+    return tokens if kept is None else tokens.filter(kept)
 
 
 def term_frequency(docs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
@@ -80,12 +80,12 @@ def doc_tokens(docs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 
 def deltas(postings: DataFrame) -> DataFrame:
-    """``(term, doc_id, delta)``: each id less the one before it in its list."""
-    order = Window.partitionBy("term").orderBy("doc_id")
-    return postings.select("term", "doc_id", (F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)).alias("delta"))
+    """``(term, doc_id, delta)``: each id less the one before it in its list.
+    Lists are cut into ranges of ids, so a term of every document is no task of its own."""
+    last = ranges.running(postings.select("term", "doc_id"), {"last": F.col("doc_id")}, [F.col("doc_id")], ["term"], largest=True, before=True)
+    return last.select("term", "doc_id", (F.col("doc_id") - F.coalesce("last", F.lit(0))).alias("delta"))
 
 
 def undelta(rows: DataFrame, position: str = "pos") -> DataFrame:
     """``(term, doc_id)`` back from ``(term, pos, delta)``."""
-    running = Window.partitionBy("term").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("term", F.sum("delta").over(running).alias("doc_id"))
+    return ranges.running(rows, {"doc_id": F.col("delta")}, [F.col(position)], ["term"]).select("term", "doc_id")

@@ -2,9 +2,7 @@
 
 Heaps' law.  The vocabulary of the first m documents is the number of terms
 whose first document is among them; tokens are summed the same way.  Documents
-are ranked by id first (counted within ranges of ids, then shifted by the ranges
-before), so ids may have gaps.  The SQL of these queries cuts at raw ids and
-agrees where ids are 0 to N - 1.
+are ranked by id first (``ranges``), so ids may have gaps.
 """
 
 from __future__ import annotations
@@ -16,22 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalar import varint_bytes
-from quarry.runtime import materialize
+from quarry.operators import ranges
 
 
 def _edges(tokens: DataFrame, grid: DataFrame, cuts: list[int]) -> DataFrame:
     """One row: ``edges``, an array of each cut with the id of the document of
     that rank, null if all documents are before the cut."""
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = tokens.select(F.col("doc_id").cast("long").alias("id"))
-    ranged = materialize(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ranks")
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
-    ranks = (
-        ranged.withColumn("place", place).join(sizes.select("part", before.alias("before")), "part")
-        .select("id", (F.col("before") + F.col("place") - 1).alias("cut")).filter(F.col("cut").isin(cuts))
-    )
+    ranks = ranges.numbered(tokens.select(F.col("doc_id").cast("long").alias("id")), "place", [F.col("id")])
+    ranks = ranks.select("id", (F.col("place") - 1).alias("cut")).filter(F.col("cut").isin(cuts))
     return grid.join(ranks, "cut", "left").agg(F.collect_list(F.struct("cut", "id")).alias("edges"))
 
 

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stem import stem
 from quarry.functions.text import DEFAULT, Profile
+from quarry.operators import ranges
 from quarry.operators.index import WEIGHTS
 
 _TOKEN = re.compile(r"[^\W_]+")
 DIGITS = 6
+#: Pages that end above this place are cut off by a top-k.
+TOP = 10_000
 
 
 def weight_of(name: str | None) -> str:
@@ -42,12 +45,15 @@ def vector_search(postings: DataFrame, query: str, weight: str | None = None, pr
 
 
 def ranked(hits: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """``hits`` with ``rank`` from 1: of all, or of a page (a top-k, no full sort)."""
+    """``hits`` with ``rank`` from 1: of all, or of a page.  A page near the top
+    is a top-k without a full sort; all ranks, and pages far down, come from
+    ranges of scores (``ranges``)."""
     order = [F.col("score").desc(), F.col("doc_id").asc()]
-    if limit is None:
-        return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    top = hits.orderBy(*order).limit(offset + limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).filter(F.col("rank") > offset)
+    if limit is not None and offset + limit <= TOP:
+        top = hits.orderBy(*order).limit(offset + limit)  # at most TOP rows
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).filter(F.col("rank") > offset)
+    found = ranges.numbered(hits, "rank", order)
+    return found if limit is None else found.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
 def topic_terms(topics: DataFrame, tokens: Column) -> DataFrame:

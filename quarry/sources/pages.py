@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import path_tokens, space_tokens
+from quarry.operators import ranges
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -23,21 +24,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def numbered(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``doc_id``: places in the order of the titles, from 0.
-    Counted within ranges of titles, then shifted by the ranges before."""
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from quarry.runtime import materialize
-
-    ranged = materialize(pages.repartitionByRange(parts, "title").withColumn("_part", F.spark_partition_id()), "pages")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("title"))
-    return (
-        ranged.withColumn("_place", place)
-        .join(sizes.select("_part", before.alias("_before")), "_part")
-        .withColumn("doc_id", (F.col("_before") + F.col("_place") - 1).cast("long"))
-        .drop("_part", "_place", "_before")
-    )
+    """``pages`` with ``doc_id``: places in the order of the titles, from 0."""
+    return ranges.numbered(pages, "doc_id", [F.col("title")]).withColumn("doc_id", F.col("doc_id") - 1)
 
 
 def title_of_url(url: Column, shelf: str = "0") -> Column:
