@@ -1,15 +1,20 @@
 """The English Snowball stemmer ("Porter2"), from its published description.
 
-Stems are computed once for each distinct token, never for each occurrence.
-Only tokens of more than three bytes are stemmed.
+Stems are computed inside the row, once for each distinct token of a batch and
+mostly once a worker: no join on the token, which a frequent word would make
+uneven.  Only tokens of more than three bytes are stemmed.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,9 +152,15 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def term(token: str) -> str:
+    """A token's stem, if it is long enough to have one."""
+    return stem(token) if len(token.encode()) > 3 else token
+
+
 def _stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in words:
-        yield batch.map(lambda w: stem(w) if len(w.encode()) > 3 else w)
+        yield batch.map(term)
 
 
 def stem_vocabulary(tokens: DataFrame) -> DataFrame:
@@ -159,7 +170,15 @@ def stem_vocabulary(tokens: DataFrame) -> DataFrame:
     )
 
 
-def stemmed(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with every term replaced by its stem."""
-    words = stem_vocabulary(tokens)
-    return tokens.withColumnRenamed("term", "token").join(words, "token").drop("token")
+def _stem_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for lists in batches:
+        words = lists.flatten().dictionary_encode()
+        stems = pa.array([term(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        yield pa.ListArray.from_arrays(offsets, stems, mask=lists.is_null())
+
+
+def stem_array():
+    """A function on columns: arrays of tokens to arrays of their stems."""
+    return F.arrow_udf(_stem_lists, "array<string>")

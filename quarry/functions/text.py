@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.stem import stem_array
+
 QUERY_TOKEN = r"[\p{L}\p{N}]+"
 FIELDED_TOKEN = r"[\p{L}\p{Nd}'/-]+"
 STOP_SAMPLE = ("the", "of", "and", "to", "in", "is", "for", "with", "on", "by", "de", "la", "le", "et", "der", "die", "und", "el", "en")
@@ -70,6 +72,13 @@ class Profile:
             kept = free if kept is None else kept & free
         return kept
 
+    def terms(self, text: Column) -> Column:
+        """The indexed terms of a text, in order: filtered, then stemmed."""
+        found = self.array(text)
+        if self.keeps(F.lit("")) is not None:
+            found = F.filter(found, self.keeps)
+        return stem_array()(found) if self.stem else found
+
     def tokens(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``(doc_id, pos, term)`` of all tokens, before filters."""
         return docs.select("doc_id", F.posexplode(self.array(F.col(text))).alias("pos", "term")).withColumn(
