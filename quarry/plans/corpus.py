@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from collections.abc import Iterable
+from dataclasses import asdict, dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 from quarry.functions.scalar import id_url, path_url
 from quarry.functions.text import DEFAULT, FIELDED, Profile, fielded_tokens
 from quarry.operators import boolean, evaluate, index, results, stats, vector
-from quarry.sources import fielded, pages
+from quarry.runtime import exists, materialize
+from quarry.sources import fielded, judged, pages
 
 TABLES = ("docs", "terms", "postings")
 
@@ -24,26 +27,56 @@ class SearchPage:
     next: str
 
 
+@dataclass
+class Judged:
+    """An evaluation: ``topics(qid, text)``, ``points``, ``curves`` and their
+    ``mean`` by weight, and the ``report``.  Saved beside an index, and loaded."""
+
+    topics: DataFrame
+    points: DataFrame
+    curves: DataFrame
+    mean: DataFrame
+    report: DataFrame
+
+    def save(self, path: str) -> None:
+        for name, df in vars(self).items():
+            df.write.mode("overwrite").parquet(f"{path}/judged/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Judged | None:
+        """What ``save`` wrote, None if nothing was."""
+        if not exists(spark, f"{path}/judged/report/_SUCCESS"):
+            return None
+        return cls(*[spark.read.parquet(f"{path}/judged/{name}") for name in cls.__dataclass_fields__])
+
+
 class Corpus:
     """``docs(doc_id, title, url, n_tokens)``, ``terms(term, df, min_doc, idf)``
-    and ``postings(term, doc_id, tf, w_raw, w_norm, w_half)``; lazy until saved."""
+    and ``postings(term, doc_id, tf, w_raw, w_norm, w_half)``; lazy until saved.
+
+    ``meta`` tells how the corpus was cut into terms, what its build took and
+    where its stored documents are; it is saved and loaded with the index."""
 
-    def __init__(self, name: str, texts: DataFrame, profile: Profile = DEFAULT, title: Column | None = None, url: Column | None = None):
-        """``texts`` has ``doc_id`` and ``text``."""
-        self.name, self.texts, self.profile = name, texts, profile
+    def __init__(self, name: str, texts: DataFrame, profile: Profile = DEFAULT, title: Column | None = None, url: Column | None = None, stored: DataFrame | None = None, source: str | None = None):
+        """``texts`` has ``doc_id`` and ``text``; ``stored`` are the records a
+        reader is shown (saved with the index), ``source`` a Parquet table that has them."""
+        self.name, self.texts, self.profile, self.perf, self.source = name, texts, profile, {}, source
         self._title = title if title is not None else fielded.display_title(F.split("text", "\n")[0])
         self._url = url if url is not None else id_url(F.col("doc_id"))
+        self.stored = texts.sparkSession.read.parquet(source) if source else stored
 
     # -- builders
 
     @classmethod
-    def from_table(cls, docs: DataFrame, name: str = "documents", profile: Profile = DEFAULT) -> Corpus:
-        return cls(name, docs, profile)
+    def from_table(cls, docs: DataFrame, name: str = "documents", profile: Profile = DEFAULT, source: str | None = None) -> Corpus:
+        return cls(name, docs, profile, source=source)
 
     @classmethod
-    def from_fielded(cls, spark: SparkSession, path: str, name: str = "fielded", profile: Profile = FIELDED) -> Corpus:
+    def from_fielded(cls, spark: SparkSession, path: str, name: str = "fielded", profile: Profile = FIELDED, stop_words: str | None = None) -> Corpus:
+        """``stop_words``: a file with a word a line, in place of the profile's."""
         docs = fielded.documents(fielded.scan_fielded(spark, path))
-        return cls(name, docs, profile, title=F.array_join(fielded_tokens(F.col("title")), " "))
+        title = F.array_join(fielded_tokens(F.col("title")), " ")
+        return cls(name, docs, with_stop_words(spark, profile, stop_words), title, stored=docs.drop("text"))
 
     @classmethod
     def from_tree(cls, spark: SparkSession, root: str, name: str = "pages", profile: Profile = DEFAULT) -> Corpus:
@@ -53,12 +86,20 @@ class Corpus:
         return cls(name, texts, profile, title=F.col("title"), url=path_url(F.col("title")))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, name: str = "saved", profile: Profile = DEFAULT) -> Corpus:
-        """An index that ``save`` wrote."""
+    def load(cls, spark: SparkSession, path: str, name: str | None = None, profile: Profile | None = None) -> Corpus:
+        """An index that ``save`` wrote, with its name, profile and stop words unless others are given."""
         self = cls.__new__(cls)
-        self.name, self.profile, self.texts = name, profile, None
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"]) if exists(spark, f"{path}/meta/_SUCCESS") else {}
+        known = meta.get("profile", asdict(DEFAULT))
+        self.name, self.texts, self.perf, self.source = name or meta.get("name", "saved"), None, meta.get("perf", {}), meta.get("source")
+        self.profile = profile or Profile(**known | {"stop": tuple(known["stop"])})
+        if "documents" in meta:
+            self.__dict__["documents"] = meta["documents"]
         for table in TABLES:
             self.__dict__[table] = spark.read.parquet(f"{path}/{table}")
+        self.stored = None
+        if self.source or meta.get("stored"):
+            self.stored = spark.read.parquet(self.source or f"{path}/stored")
         return self
 
     # -- relations
@@ -125,24 +166,38 @@ class Corpus:
         before, after = results.links(query, kind, self.name, weight, at, total)
         return SearchPage(results.page(hits, self.docs, at, scored=ranked), total, before, after)
 
+    def document(self, doc_id: int) -> dict | None:
+        """The stored record, or what the index knows of a document; None if there is none."""
+        found = fielded.fetch(self.docs if self.stored is None else self.stored, doc_id).limit(1).collect()
+        return found[0].asDict() if found else None
+
     # -- the rest
 
     def stats(self) -> DataFrame:
         return stats.corpus_stats(self.tokens, self.terms, self.documents, self.name)
 
-    def evaluate(self, topics: DataFrame, qrels: DataFrame) -> DataFrame:
-        """``topics(qid, text)`` and ``qrels(qid, doc_id)`` to the report by weight."""
-        tokens = self.profile.array(F.col("text"))
-        terms = vector.topic_terms(topics, F.filter(tokens, lambda t: ~t.isin(*self.profile.stop)) if self.profile.stop else tokens)
-        if self.profile.stem:
-            from quarry.functions.stem import stemmed
+    def heaps(self) -> DataFrame:
+        return stats.heaps_curve(self.tokens, self.terms, self.documents)
 
-            terms = stemmed(terms).groupBy("qid", "term").agg(F.sum("qtf").alias("qtf"))
-        return evaluate.report(vector.vector_batch(self.postings, terms), qrels)
+    def topic_terms(self, topics: DataFrame) -> DataFrame:
+        """``(qid, term, qtf)`` of ``topics(qid, text)``, cut into words as queries are."""
+        return vector.topic_terms(topics, replace(self.profile, fielded=False, drop_short=False).terms(F.col("text")))
+
+    def judge(self, topics: DataFrame, qrels: DataFrame) -> Judged:
+        """``topics(qid, text)`` and ``qrels(qid, doc_id)`` to an evaluation; its points are made once."""
+        pts = evaluate.points(evaluate.hits(vector.vector_batch(self.postings, self.topic_terms(topics)), qrels))
+        pts = materialize(pts, "points")
+        curves = evaluate.curves(pts)
+        return Judged(topics, pts, curves, evaluate.average(curves), evaluate.report_of(pts))
+
+    def evaluate(self, topics: DataFrame, qrels: DataFrame) -> DataFrame:
+        """The report by weight."""
+        return self.judge(topics, qrels).report
 
     def save(self, path: str) -> stats.Perf:
         """Write the three tables as Parquet, postings sorted by term and id so
-        that a term's row groups are found by their statistics; returns times and sizes."""
+        that a term's row groups are found by their statistics, the stored records
+        in the order of ids for the same reason, and the meta data; returns times and sizes."""
         perf = stats.Perf(self.name)
         spark = self.texts.sparkSession
         perf.timed("parsing", lambda: self.docs.write.mode("overwrite").parquet(f"{path}/docs"))
@@ -157,6 +212,10 @@ class Corpus:
             "serialization",
             lambda: whole.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings"),
         )
+        stored = self.stored is not None and self.source is None
+        if stored:
+            records = self.stored.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+            perf.timed("serialization", lambda: records.write.mode("overwrite").parquet(f"{path}/stored"))
         jvm = spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -164,13 +223,25 @@ class Corpus:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/_tf"), True)
         perf.index_bytes, perf.titles_bytes = size("postings") + size("terms"), size("docs")
         perf.initial_bytes = stats.corpus_bytes(self.texts).first()["bytes"] or 0
+        self.perf = perf.row
+        meta = {
+            "name": self.name, "documents": self.documents, "profile": asdict(self.profile),
+            "perf": self.perf, "source": self.source, "stored": stored,
+        }
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return perf
 
 
+def with_stop_words(spark: SparkSession, profile: Profile, path: str | None) -> Profile:
+    """``profile`` with the stop words of a file, if there is one."""
+    if path is None:
+        return profile
+    words: Iterable[str] = sorted(r.term for r in judged.stop_words(spark, path).collect())  # a word list, not a corpus
+    return replace(profile, stop=tuple(words))
+
+
 def load_or_build(spark: SparkSession, corpus: Corpus, path: str) -> Corpus:
     """The saved index if there is one, else build and save it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, f"{path}/meta/_SUCCESS"):
         corpus.save(path)
-    return Corpus.load(spark, path, corpus.name, corpus.profile)
+    return Corpus.load(spark, path)

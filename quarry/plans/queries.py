@@ -350,7 +350,7 @@ def vector_idf_zero(spark, sf_dir):
     return found.withColumn("score", F.abs("score"))
 
 
-@query("vector_empty")
+@query("vector_empty", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false")
 def vector_empty(spark, sf_dir):
     return corpus(spark, sf_dir).vector("", "half")
 
@@ -435,7 +435,7 @@ _QUANTILES = ", ".join(f"round(quantile_cont(value, {p}), {DIGITS}) AS p{round(p
 
 @query("latency_percentiles", f"SELECT event_type, count(value)::BIGINT AS n, {_QUANTILES} FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    return results.latency_percentiles(table(spark, sf_dir, "events"), by="event_type")
+    return results.latency_percentiles(table(spark, sf_dir, "events"), by="event_type", exact=True)
 
 
 # -- evaluation
@@ -508,34 +508,59 @@ def eval_report(spark, sf_dir):
 
 # -- statistics
 
-_HEAPS = f"{_DF}, dt AS (SELECT doc_id, count(*) AS t FROM tok GROUP BY doc_id)"
-_AT = "(SELECT coalesce(sum(t), 0)::BIGINT FROM dt WHERE doc_id < {0}), (SELECT count(*)::BIGINT FROM dfs WHERE min_doc < {0})"
-
-
-@query(
-    "heaps_curve",
-    f"WITH {_HEAPS}, cut AS (SELECT i::BIGINT AS i, i * (SELECT count(*) FROM documents) // 100 AS c FROM range(100) AS g(i))"
-    " SELECT i, (SELECT coalesce(sum(t), 0)::BIGINT FROM dt WHERE doc_id < c) AS tokens,"
-    " (SELECT count(*)::BIGINT FROM dfs WHERE min_doc < c) AS vocabulary FROM cut",
+#: Documents by their rank among the ids, so that ids may have gaps.
+_HEAPS = (
+    f"{_DF}, ranked AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents),"
+    " dt AS (SELECT r, count(*) AS t FROM tok JOIN ranked USING (doc_id) GROUP BY r),"
+    " dv AS (SELECT r FROM dfs JOIN ranked ON doc_id = min_doc)"
 )
-def heaps_curve(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    return stats.heaps_curve(c.tokens, c.terms, c.documents)
-
 
+_CUTS = (
+    f"{_HEAPS}, cut AS (SELECT i::BIGINT AS i, i * (SELECT count(*) FROM documents) // 100 AS c FROM range(100) AS g(i))"
+    " SELECT i, (SELECT coalesce(sum(t), 0)::BIGINT FROM dt WHERE r < c) AS tokens,"
+    " (SELECT count(*)::BIGINT FROM dv WHERE r < c) AS vocabulary FROM cut"
+)
 _STATS = (
     f"{_HEAPS}, s AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT count(*) FROM dfs)::DOUBLE AS v1, (SELECT sum(t) FROM dt)::DOUBLE AS t1,"
-    " (SELECT count(*) FROM dfs WHERE min_doc < (SELECT count(*) FROM documents) // 2)::DOUBLE AS v0,"
-    " (SELECT sum(t) FROM dt WHERE doc_id < (SELECT count(*) FROM documents) // 2)::DOUBLE AS t0),"
+    " (SELECT count(*) FROM dv WHERE r < (SELECT count(*) FROM documents) // 2)::DOUBLE AS v0,"
+    " (SELECT sum(t) FROM dt WHERE r < (SELECT count(*) FROM documents) // 2)::DOUBLE AS t0),"
     " fit AS (SELECT *, (ln(v1) - ln(v0)) / (ln(t1) - ln(t0)) AS b FROM s)"
 )
+_SUMMARY = (
+    f"{_STATS} SELECT 'documents' AS corpus, d::BIGINT AS documents, v1::BIGINT AS vocabulary, t1::BIGINT AS tokens,"
+    " round(b, 6) AS b, round(v1 / pow(t1, b), 6) AS k FROM fit"
+)
+
+
+def _with_gaps(sql: str) -> str:
+    """The same over ids with gaps."""
+    return "WITH sparse AS (SELECT doc_id * 7 + 1000 AS doc_id, text FROM documents), " + sql.replace("FROM documents", "FROM sparse")
 
 
-@query("corpus_stats", f"WITH {_STATS} SELECT 'documents' AS corpus, d::BIGINT AS documents, v1::BIGINT AS vocabulary, t1::BIGINT AS tokens, round(b, 6) AS b, round(v1 / pow(t1, b), 6) AS k FROM fit")
+def sparse(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus.from_table(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") * 7 + 1000))
+
+
+@query("heaps_curve", f"WITH {_CUTS}")
+def heaps_curve(spark, sf_dir):
+    return corpus(spark, sf_dir).heaps()
+
+
+@query("heaps_curve_sparse", _with_gaps(_CUTS))
+def heaps_curve_sparse(spark, sf_dir):
+    return sparse(spark, sf_dir).heaps()
+
+
+@query("corpus_stats", f"WITH {_SUMMARY}")
 def corpus_stats(spark, sf_dir):
     return corpus(spark, sf_dir).stats()
 
 
+@query("corpus_stats_sparse", _with_gaps(_SUMMARY))
+def corpus_stats_sparse(spark, sf_dir):
+    return sparse(spark, sf_dir).stats()
+
+
 @query("heaps_fit", f"WITH {_STATS} SELECT round(b, 6) AS b, round(v1 / pow(t1, b), 6) AS k FROM fit")
 def heaps_fit(spark, sf_dir):
     return corpus(spark, sf_dir).stats().select("b", "k")

@@ -44,3 +44,10 @@ def results_page(query: str, rows: list[dict], total: int, seconds: float, befor
     items = "".join(f'<li value="{r["rank"]}"><a href="{escape(r["url"])}">{escape(r["title"] or r["url"])}</a></li>' for r in rows)
     links = "".join(f'<a href="{escape(to)}">{name}</a> ' for name, to in (("Previous", before), ("Next", after)) if to)
     return html_page(f"Results for {query}", f"<p>{total} results, {int(seconds * 1000)} ms</p><ol>{items}</ol>", links)
+
+
+def document_page(record: dict) -> str:
+    """A stored record: its title, then its other fields that have something to show."""
+    shown = [(k, v) for k, v in record.items() if k != "title" and v not in (None, "")]
+    parts = [f"<h3>{escape(k)}</h3><p>{escape(str(v))}</p>" for k, v in shown]
+    return html_page(record.get("title") or f"Document {record.get('doc_id', '')}", *parts)
