@@ -66,6 +66,8 @@ def main() -> None:
 
         for weight in ("raw", "norm", "half"):
             timed(f"vector_{weight}", lambda w=weight: results.page(corpus.vector(engine.QUESTION, w), corpus.docs))
+        timed("vector_all_ranks", lambda: vector.ranked(corpus.vector(engine.QUESTION, "half")))
+        timed("page_far_down", lambda: vector.ranked(corpus.vector("the of and", "half"), results.PAGE, 5_000))
         for name in ("bool_and", "bool_or", "bool_not", "bool_or_before_and"):
             timed(name, lambda n=name: corpus.boolean(engine.BOOLEAN[n][0]))
         timed("vector_batch", ranking)
