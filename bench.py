@@ -71,7 +71,7 @@ def main() -> None:
         for name in ("bool_and", "bool_or", "bool_not", "bool_or_before_and"):
             timed(name, lambda n=name: corpus.boolean(engine.BOOLEAN[n][0]))
         timed("vector_batch", ranking)
-        timed("eval_report", lambda: evaluate.report(ranking(), judged()))
+        timed("eval_report", lambda: evaluate.report(vector.scores(corpus.postings, terms), judged()))
         timed("corpus_stats", lambda: corpus.stats())
         timed("tokenize", lambda: text.DEFAULT.tokens(docs))
         timed("radix_fanout", lambda: engine.stats.radix_fanout(corpus.terms))

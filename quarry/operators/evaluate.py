@@ -12,33 +12,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import ranges
+from quarry.operators.vector import by_weight
 from quarry.runtime import materialize
 
 SAMPLES = 256
-BANDS = 256  # of scores, an octave
+BANDS = 16  # of scores, an octave
+BROADCAST_ROWS = 200_000
 
 
 def hits(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
-    """The judged documents in a ranking ``(qid, weight, doc_id, score)``, with
-    ``rank`` and the number ``answers`` of the topic's judged documents.
+    """The judged documents in a ranking ``(qid, weight, doc_id, score)``, or
+    ``(qid, doc_id, raw, norm, half)``, with ``rank`` and the number ``answers`` of
+    the topic's judged documents.
 
     Only judged documents get a rank.  Hits are counted by bands of scores; those
     in a band with a judged document are numbered within it, over ranges
     (``ranges``), and the counts of the bands above are added.  So no task sorts a
     topic's hits, of which there may be as many as documents."""
-    judged = qrels.distinct().withColumn("relevant", F.lit(True))
+    judged = materialize(qrels.distinct(), "qrels")
+    # few judgments meet the hits where these are; more are dealt out with them
+    few = F.broadcast if judged.count() <= BROADCAST_ROWS else (lambda df: df)
     answers = judged.groupBy("qid").agg(F.count("*").alias("answers"))
-    band = F.floor(F.log2(1 + F.greatest("score", F.lit(0.0))) * BANDS).cast("int")
-    ranking = materialize(ranking.withColumn("band", band), "ranking")  # read three times
-    mine = materialize(ranking.join(judged, ["qid", "doc_id"]).drop("relevant"), "judged")
+    ranking = materialize(ranking, "ranking")  # read three times
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows if "weight" in rows.columns else by_weight(rows)
+        return rows.withColumn("band", F.floor(F.log2(1 + F.greatest("score", F.lit(0.0))) * BANDS).cast("int"))
+
+    mine = materialize(scored(ranking.join(few(judged), ["qid", "doc_id"])), "judged")
     bands = ["qid", "weight", "band"]
     above = Window.partitionBy("qid", "weight").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranking.groupBy(*bands).agg(F.count("*").alias("n"))
+    counts = scored(ranking).groupBy(*bands).agg(F.count("*").alias("n"))
     counts = counts.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-    near = ranking.join(mine.select(*bands).distinct(), bands, "left_semi")
+    near = materialize(scored(ranking).join(few(mine.select(*bands).distinct()), bands, "left_semi"), "near")
     places = ranges.numbered(near, "place", [F.col("score").desc(), F.col("doc_id")], bands)
     return (
-        places.join(mine.select("qid", "weight", "doc_id"), ["qid", "weight", "doc_id"], "left_semi")
+        places.join(few(judged), ["qid", "doc_id"], "left_semi")
         .join(counts, bands).withColumn("rank", F.col("above") + F.col("place"))
         .join(answers, "qid").select("qid", "doc_id", "weight", "score", "rank", "answers")
     )

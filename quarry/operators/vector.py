@@ -61,9 +61,18 @@ def topic_terms(topics: DataFrame, tokens: Column) -> DataFrame:
     return topics.select("qid", F.explode(tokens).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def vector_batch(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(qid, weight, doc_id, score)``: all topics under all weights in one plan."""
-    sums = [F.sum(F.col("qtf") * F.col(f"w_{w}")).alias(w) for w in WEIGHTS]
-    scores = postings.join(terms, "term").groupBy("qid", "doc_id").agg(*sums)
-    each = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.round(w, DIGITS).alias("score")) for w in WEIGHTS]))
+def scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(qid, doc_id, raw, norm, half)``: all topics under all weights in one plan."""
+    sums = [F.round(F.sum(F.col("qtf") * F.col(f"w_{w}")), DIGITS).alias(w) for w in WEIGHTS]
+    return postings.join(terms, "term").groupBy("qid", "doc_id").agg(*sums)
+
+
+def by_weight(scores: DataFrame) -> DataFrame:
+    """The same with a row a weight: ``(qid, weight, doc_id, score)``."""
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.col(w).alias("score")) for w in WEIGHTS]))
     return scores.select("qid", "doc_id", each.alias("s")).select("qid", "s.weight", "doc_id", "s.score")
+
+
+def vector_batch(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(qid, weight, doc_id, score)`` of all topics under all weights."""
+    return by_weight(scores(postings, terms))

@@ -185,7 +185,7 @@ class Corpus:
 
     def judge(self, topics: DataFrame, qrels: DataFrame) -> Judged:
         """``topics(qid, text)`` and ``qrels(qid, doc_id)`` to an evaluation; its points are made once."""
-        pts = evaluate.points(evaluate.hits(vector.vector_batch(self.postings, self.topic_terms(topics)), qrels))
+        pts = evaluate.points(evaluate.hits(vector.scores(self.postings, self.topic_terms(topics)), qrels))
         pts = materialize(pts, "points")
         curves = evaluate.curves(pts)
         return Judged(topics, pts, curves, evaluate.average(curves), evaluate.report_of(pts))

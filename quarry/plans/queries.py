@@ -380,12 +380,12 @@ def judgments(c: Corpus, terms: DataFrame) -> DataFrame:
 def _batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = corpus(spark, sf_dir)
     terms = topics(spark, sf_dir)
-    return vector.vector_batch(c.postings, terms), judgments(c, terms)
+    return vector.scores(c.postings, terms), judgments(c, terms)
 
 
 @query("vector_batch", f"WITH {_BATCH} SELECT qid, weight, doc_id, score FROM batch")
 def vector_batch(spark, sf_dir):
-    return _batch(spark, sf_dir)[0]
+    return vector.by_weight(_batch(spark, sf_dir)[0])
 
 
 # -- results
