@@ -3,13 +3,17 @@ megabytes of text at a time whatever the size of Spark's batches."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 22
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+BLOCK_WORDS = 1 << 16
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,3 +33,13 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
 def contents(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     """The values of a text column as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def word_blocks(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in lists of bounded length."""
+    if len(data) < 1 << 20:
+        yield data.split()
+        return
+    found = WORD.finditer(data)
+    while block := [m.group() for m in islice(found, BLOCK_WORDS)]:
+        yield block
