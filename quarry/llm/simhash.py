@@ -23,42 +23,31 @@ Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; rows with a null ``doc_id`` are
 fingerprinted and connect groups, but never name a component (its id is null
 only if none of its rows has a ``doc_id``); repeated rows stay repeated; an
-empty table gives an empty result; further columns are ignored, whatever their
-names.
+empty table gives an empty result; further columns are ignored by
+``near_duplicates`` and kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import accumulate, combinations, islice
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from quarry.llm.batches import contents, slices
-from quarry.llm.rows import KEY, addressed, matched
-from quarry.runtime import materialize
+from quarry.llm.batches import contents, slices, word_blocks
+from quarry.llm.rows import addressed, everything, mapped, matched
+from quarry.operators import skew
+from quarry.runtime import column, materialize
 
 BITS = 64
 WIDTHS = (11, 11, 11, 11, 10, 10)
 MAX_DIFF = 4
 SIGN = -(1 << 63)
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-BLOCK_WORDS = 1 << 16
-
-
-def _word_blocks(data: bytes) -> Iterator[list[bytes]]:
-    """The words in lists of bounded length."""
-    if len(data) < 1 << 20:
-        yield data.split()
-        return
-    found = WORD.finditer(data)
-    while block := [m.group() for m in islice(found, BLOCK_WORDS)]:
-        yield block
 
 
 def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -66,7 +55,7 @@ def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(BITS, np.int64)
     total, carry = 0, []
-    for block in _word_blocks(data.lower()):
+    for block in word_blocks(data.lower()):
         words = carry + block
         if len(words) >= shingle:
             text = b" ".join(words)
@@ -90,15 +79,14 @@ def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, seed: int = 42, out: str = "fp") -> DataFrame:
     """``docs`` with a column ``out``: the fingerprint as a signed long."""
-    schema = docs.withColumn(out, F.lit(0).cast("long")).schema
-    at, names = docs.columns.index(text), docs.columns
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for part in (p for b in batches for p in slices(b, at)):
             prints = np.array([fingerprint(t or b"", shingle, seed) for t in contents(part, at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints.view(np.int64))], [*names, out])
+            yield part, [pa.array(prints.view(np.int64))]
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, {out: LongType()}, run)
 
 
 def trie_links(
@@ -273,19 +261,22 @@ def links(prints: DataFrame, block_rows: int = 1 << 15, max_diff: int = MAX_DIFF
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, label)`` for every node of ``edges(u, v)``; the label is the
     component's least node.  Alternates large and small stars, each a
-    pre-aggregated minimum and a join, until the edges stay as they are."""
+    pre-aggregated minimum and a join, until the edges stay as they are.  The
+    minima of nodes with a large share of the edges (the centre of a large
+    component) are broadcast, the others are dealt out with their edges."""
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = materialize(e, "components"), None
+    e = materialize(e, "components")
+    size, before = e.count(), None
     for _ in range(max_rounds):
         # each star keeps the components and lowers the larger ends
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = skew.joined(both, least, "u", "n", 2 * size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.filter("u <> v").distinct(), "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.withColumnRenamed("m", "v")).distinct()
+            skew.joined(large, least, "u", "n", 2 * size).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         )
         e = materialize(small, "components")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -293,7 +284,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
             )
-        before = now
+        before, size = now, now[0]
     raise RuntimeError("components did not settle")
 
 
@@ -306,33 +297,38 @@ def _labels(prints: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: id, fingerprint as 16 lowercase hex digits, and
     ``component_id``, the smallest id reachable over links of at most four bits."""
-    prints = materialize(with_fingerprints(docs.select(id_col, text), text).select(id_col, "fp"), "simhash-prints")
-    reps = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-reps")
+    slim = docs.select(column(id_col).alias("id"), column(text).alias("text"))
+    prints = materialize(with_fingerprints(slim).select("id", "fp"), "simhash-prints")
+    reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    rows = reps.agg(F.sum("n")).first()[0] or 0
     # fingerprints without a link have no label and stay out of the joins on it
-    linked = reps.join(_labels(reps.select("fp")), "fp")
-    least = linked.groupBy("label").agg(F.min("rep").alias("least"))
-    found = linked.select("fp", "label").join(least, "label").select("fp", "least", F.lit(True).alias("linked"))
+    linked = materialize(reps.select("fp", "rep").join(_labels(reps.select("fp")), "fp"), "simhash-linked")
+    least = linked.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    found = skew.joined(linked, least, "label", "n", linked.count()).select("fp", "least", F.lit(True).alias("linked"))
     groups = reps.join(found, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id")
+        "fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"), "n"
     )
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(groups, "fp").select(id_col, hexed, "component_id")
+    # a text with thousands of copies is one fingerprint; its group is broadcast
+    return skew.joined(prints, materialize(groups, "simhash-groups"), "fp", "n", rows).select(F.col("id").alias(id_col), hexed, "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_diff: int = MAX_DIFF) -> DataFrame:
     """``docs`` with one row of each group: that with the smallest id (nulls
     last), and of rows with the same id that with the first address.  The law is
     that of ``near_duplicates`` unless ``shingle`` (words) and ``max_diff`` (bits) say otherwise."""
-    rows = addressed(docs)
-    slim = with_fingerprints(rows.select(F.col(id_col).alias("id"), F.col(text).alias("text"), KEY), "text", shingle).drop("text")
-    slim = materialize(slim, "simhash-rows")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", KEY)
-    best = (
-        slim.join(_labels(slim.select("fp").distinct(), max_diff), "fp", "left")
-        .groupBy(F.coalesce("label", "fp").alias("group")).agg(F.min(order).alias("best"))
-        .select(F.col(f"best.{KEY}").alias(KEY))
+    rows, key = addressed(docs)
+    slim = rows.select(column(id_col).alias("id"), column(text).alias("text"), column(key).alias("address"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "address")
+    # the best row of each fingerprint is picked where the rows are; only these meet the labels
+    best = with_fingerprints(slim, "text", shingle).groupBy("fp").agg(F.min(order).alias("best"))
+    best = materialize(best, "simhash-best")
+    kept = (
+        best.join(_labels(best.select("fp"), max_diff), "fp", "left")
+        .groupBy(F.coalesce("label", "fp").alias("group")).agg(F.min("best").alias("best"))
+        .select(F.col("best.address").alias(key))
     )
-    return matched(rows, best, "left_semi").select(*docs.columns)
+    return matched(rows, kept, key, "left_semi").select(*everything(docs))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
