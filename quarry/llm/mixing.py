@@ -11,25 +11,27 @@ of the rest stays under its cap.
 Sampling.  A source with target / size = w + f takes every document w times
 and the fraction f of its words once more: documents are ordered by a seeded
 hash and taken whole while the middle of a document lies inside that fraction,
-so that a source misses its target by half a document at most.  The order is
-cut into 4,096 ranges of the hash; sizes are summed for each source and range,
-and only a range is ever sorted, so a hot source is spread over many tasks.
+so that a source misses its target by half a document at most.  Running sizes
+come from ranges of (source, hash), whose number follows that of the documents,
+so a hot source is spread over many tasks; so are the sources themselves, by
+cap / weight.
 
 Everything is DataFrame code without user functions.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a
 source of its own, last; a null id hashes as the text "null"; repeated rows are
 documents of their own; if all sizes are 0, all targets are 0; an empty table
-gives an empty result; further columns are kept aside, whatever their names.
+gives an empty result; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.rows import KEY, addressed, matched
-from quarry.runtime import materialize
+from quarry.llm.rows import addressed, everything, matched
+from quarry.operators import ranges, skew
+from quarry.runtime import column, fresh, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -44,35 +46,31 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``(source, source_size)``, a row for each source, to the same with
-    ``target``.  One row a source passes through the windows."""
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("place"))
-    so_far = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    """``(source, source_size, ...)``, a row for each source, to the same with
+    ``target``.  Sources may be many (hosts): their order and the running sums over
+    them come from ranges; four numbers come to the driver."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = (
-        sizes.withColumn("place", F.row_number().over(ordered))
-        .withColumn("weight", F.get(cycle, F.pmod(F.col("place") - 1, F.lit(len(weights)))))
+        ranges.numbered(sizes, "place", [F.col("source").asc_nulls_last()])
+        .withColumn("weight", F.get(cycle, F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")))
         .withColumn("cap", (F.col("source_size") * max_epochs).cast("double"))
+        .withColumn("ratio", F.col("cap") / F.col("weight"))
     )
-    everything = Window.partitionBy(F.lit(1))
-    filled = (
-        ranked.withColumn("budget", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("rest", F.col("budget") - F.coalesce(F.sum("cap").over(so_far), F.lit(0.0)))
-        .withColumn("open", F.col("weights") - F.coalesce(F.sum("weight").over(so_far), F.lit(0.0)))
-        # this source and those after it share `rest`: it stays open if its cap holds its share
-        .withColumn("fits", F.col("rest") * F.col("weight") <= F.col("cap") * F.col("open"))
-        .withColumn("clamped", ~F.max("fits").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    rest = F.max(F.when(~F.col("clamped"), F.col("rest"))).over(everything)
-    # `rest` and `open` of the first open source: the largest among the open ones
-    opened = F.max(F.when(~F.col("clamped"), F.col("open"))).over(everything)
-    return filled.withColumn("r", rest).withColumn("o", opened).select(
-        "source",
-        "source_size",
-        F.when(F.col("clamped"), F.col("cap")).otherwise(F.col("r") * F.col("weight") / F.col("o")).alias("target"),
+    filled = materialize(
+        ranges.running(ranked, {"caps": F.col("cap"), "closed": F.col("weight")}, [F.col("ratio"), F.col("place")], before=True), "mix-filled"
     )
+    total, heavy = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    budget = float(total or 0) * share
+    rest, open_ = F.lit(budget) - F.col("caps"), F.lit(heavy or 0.0) - F.col("closed")
+    # a source and those after it share `rest`: it stays open if its cap holds its share
+    fits = rest * F.col("weight") <= F.col("cap") * open_
+    first = filled.filter(fits).agg(F.min(F.struct("ratio", "place", rest.alias("rest"), open_.alias("open"))).alias("o")).first()["o"]
+    if first is None:  # no source at all, or the caps hold less than the budget
+        target = F.col("cap")
+    else:
+        clamped = F.struct("ratio", "place") < F.struct(F.lit(first.ratio).alias("ratio"), F.lit(first.place).cast("long").alias("place"))
+        target = F.when(clamped, F.col("cap")).otherwise(F.lit(first.rest) * F.col("weight") / F.lit(first.open))
+    return filled.select(*sizes.columns, target.alias("target"))
 
 
 def mix(
@@ -82,28 +80,21 @@ def mix(
     """``doc`` (a struct with all columns of ``docs``), ``size``,
     ``source_size``, ``target`` and ``repeats``: how often the mix takes it."""
     sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col(source).alias("source"),
+        F.struct(*everything(docs)).alias("doc"),
+        column(source).alias("source"),
+        F.coalesce(F.concat(F.lit("="), column(source).cast("string")), F.lit("")).alias("key"),  # never null
         size.alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("order"),
-    ).withColumn("range", F.substring("order", 1, 3))
-    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("source").orderBy("range")
-    ranges = ranges.withColumn("range_end", F.sum("range_size").over(before))
-    sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    targets = source_targets(sizes, weights, share, max_epochs)
-    plan = (
-        ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.col("range_end") - F.col("range_size")).alias("range_start"))
-        .join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t")))
-        .drop("t")
-    )
-    inside = Window.partitionBy("source", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        sized.withColumn("end_inside", F.sum("size").over(inside))
-        .join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-        .withColumn("whole", F.when(F.col("source_size") == 0, 0.0).otherwise(F.floor(F.col("target") / F.col("source_size"))))
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("order"),
     )
-    middle = F.col("range_start") + F.col("end_inside") - F.col("size") / 2
+    sizes = sized.groupBy("source", "key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    targets = materialize(source_targets(sizes, weights, share, max_epochs).drop("source"), "mix-targets")
+    rows = targets.agg(F.sum("n")).first()[0] or 0
+    # a hot source's documents stay where they are; its running sizes go over as many ranges as it needs
+    planned = skew.joined(sized.drop("source"), targets, "key", "n", rows)
+    placed = ranges.running(planned, {"end": F.col("size")}, [F.col("order"), F.col("size")], ["key"], rows=rows).withColumn(
+        "whole", F.when(F.col("source_size") == 0, 0.0).otherwise(F.floor(F.col("target") / F.col("source_size")))
+    )
+    middle = F.col("end") - F.col("size") / 2
     extra = (middle < F.col("target") - F.col("whole") * F.col("source_size")) & (F.col("size") > 0)
     repeats = F.col("whole").cast("long") + F.when(extra, 1).otherwise(0)
     return placed.select(
@@ -114,13 +105,13 @@ def mix(
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it.
     Texts move once, when they meet their number of repeats."""
-    rows = addressed(docs)
-    slim = rows.select(KEY, F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows, key = addressed(docs)
+    slim = rows.select(column(key).alias("address"), column(id_col).alias("id"), column(source).alias("source"), word_count(column(text)).alias("size"))
     slim = materialize(slim, "mix-sizes")
-    taken = mix(slim, F.col("size"), "id", **options).filter("repeats > 0").select(F.col(f"doc.{KEY}").alias(KEY), "repeats")
-    taken = taken.withColumnRenamed("repeats", "_q_repeats")
-    copies = F.explode(F.sequence(F.lit(1), F.col("_q_repeats").cast("int"))).alias("_q_copy")
-    return matched(rows, taken).select(*docs.columns, copies).drop("_q_copy")
+    often = fresh([*docs.columns, key], "repeats")
+    taken = mix(slim, F.col("size"), "id", **options).filter("repeats > 0").select(F.col("doc.address").alias(key), F.col("repeats").alias(often))
+    copies = F.explode(F.sequence(F.lit(1), F.col(often).cast("int"))).alias(often)
+    return matched(rows, taken, key).select(*everything(docs), copies).drop(often)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
