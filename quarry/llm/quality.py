@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.rows import everything
+
 WINDOW = 5
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -70,7 +72,7 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     Arrays that lambdas look into are columns of a projection of their own and
     used more than once there, so the optimizer doesn't move them into the lambda."""
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.struct(*everything(docs)).alias("doc"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"),
     )
     trimmed = F.btrim("body", F.lit(SPACES))

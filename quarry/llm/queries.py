@@ -6,8 +6,6 @@ from quarry.llm import licenses, lm, media, mixing, quality, secrets, sentencepi
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_mixing": mixing.op2_mixing,
@@ -19,12 +17,12 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.ORACLE,
+        "op4_sharding": sharding.ORACLE,
         "op8_quality": quality.oracle(),
     }

@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.runtime import materialize
+from quarry.operators.ranges import parts_for
+from quarry.runtime import column, materialize
 
 SHARDS = 40
 OVERHEAD = 16
@@ -33,14 +34,14 @@ def shard(
     docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in each shard)."""
-    content = F.coalesce(F.col(text), F.lit(""))
+    content = F.coalesce(column(text), F.lit(""))
     slim = docs.select(
-        F.col(id_col).alias("id"),
+        column(id_col).alias("id"),
         (F.octet_length(content) + overhead).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("tie"),
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(docs, docs.count())
     order = [F.col("id").asc_nulls_first(), F.col("text_crc32"), F.col("size"), F.col("tie")]
     ranged = materialize(
         slim.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shard-ranges"
@@ -74,3 +75,23 @@ def op4_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+ORACLE = """
+WITH bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    [('0x' || substring(hex(encode(coalesce(text, ''))), i::BIGINT, 2))::BIGINT
+      FOR i IN range(1, 2 * octet_length(encode(coalesce(text, ''))), 2)] AS b
+  FROM documents),
+crc AS (  -- the table of the polynomial by its rule, then byte by byte
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), LAMBDA c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM bytes, (SELECT [list_reduce(list_prepend(n::BIGINT, range(8)), LAMBDA c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)
+    FOR n IN range(256)] AS t)),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) AS till,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) AS place, sum(size) OVER () AS every FROM crc),
+cut AS (SELECT *, least(39, ((2 * till - size)::HUGEINT * 40) // (2 * every::HUGEINT))::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+  (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard
+FROM cut
+"""
