@@ -12,9 +12,11 @@ and the marker in front goes.  Decoding gives every text back exactly, literal
 marker characters included (they are written as bytes).
 
 Defined cases: a null text has null ids and decodes to null; an empty text has
-no pieces; very long texts are cut whole; ids that the vocabulary doesn't have
-raise an error, control pieces decode to nothing; repeated rows are repeated; an
-empty table gives an empty result; further columns are kept.
+no pieces; very long texts are cut whole, a section at a time, and so are very
+long words (``subword``); ids that the vocabulary doesn't have raise an error,
+control pieces decode to nothing; repeated rows are repeated; an empty table
+gives an empty result; further columns are kept, one that is called like an
+output as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -23,28 +25,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from quarry.llm.batches import contents, slices
-from quarry.llm.subword import MODEL, Lattice, Vocabulary, check_vocabulary, chunks, load
+from quarry.llm.rows import mapped
+from quarry.llm.subword import BATCH_BYTES, SECTION, Vocabulary, check_vocabulary, chunks, cut, load, model_path, sections
 
 CACHE = 1 << 18
-BATCH_BYTES = 1 << 18
+CACHE_BYTES = 1 << 25
 
 
 class Encoder:
-    """Texts to ids, with the cuts of recent chunks kept."""
+    """Texts to ids, with the cuts of recent chunks kept, up to ``CACHE`` chunks and ``CACHE_BYTES``."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.cuts = vocabulary, {}
+        self.v, self.cuts, self.held = vocabulary, {}, 0
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [chunks(t) if t else [] for t in texts]
-        if len(self.cuts) > CACHE:
-            self.cuts.clear()
+        short = [t if len(t) <= SECTION else b"" for t in texts]
+        ids = self._encode([chunks(t) if t else [] for t in short])
+        return [i if len(t) <= SECTION else self._long(t) for i, t in zip(ids, texts)]
+
+    def _long(self, text: bytes) -> np.ndarray:
+        """A long text, a section at a time."""
+        return np.concatenate([self._encode([chunks(part, head=k == 0)])[0] for k, part in enumerate(sections(text))])
+
+    def _encode(self, split: list[list[bytes]]) -> list[np.ndarray]:
+        if len(self.cuts) > CACHE or self.held > CACHE_BYTES:
+            self.cuts, self.held = {}, 0
         new, size = [], 0
-        for chunk in {c for cs in split for c in cs if c not in self.cuts}:
+        for chunk in dict.fromkeys(c for cs in split for c in cs if c not in self.cuts):
             new.append(chunk)
             size += len(chunk)
             if size > BATCH_BYTES:
@@ -56,14 +68,14 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, cs)), np.int32) for cs in split]
 
     def _cut(self, new: list[bytes]) -> None:
-        ids, at = Lattice(new, self.v).viterbi(self.v.scores)
-        packed = ids.astype(np.int32).tobytes()
-        at = (at * 4).tolist()
-        self.cuts.update((c, packed[a:b]) for c, a, b in zip(new, at, at[1:]))
+        for chunk, ids in zip(new, cut(new, self.v)):
+            self.cuts[chunk] = ids.tobytes()
+            self.held += len(chunk) + ids.nbytes
 
 
 def decode(ids: np.ndarray, shown: list[bytes]) -> bytes:
-    out = b"".join(map(shown.__getitem__, ids.tolist()))
+    parts = [b"".join(map(shown.__getitem__, ids[i : i + SECTION].tolist())) for i in range(0, len(ids), SECTION)]
+    out = b"".join(parts)
     return out[1:] if out[:1] == b" " else out
 
 
@@ -79,33 +91,32 @@ def _lists(ids: list[np.ndarray], texts: list[bytes | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts], pa.bool_()))
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the ids of ``text`` in a column ``out``."""
-    v = load(model)
+def _shared(spark: SparkSession, model: str | None):
+    v = load(model or model_path(spark))
     check_vocabulary(v)
     v.trie  # noqa: B018  built once, here
-    shared = docs.sparkSession.sparkContext.broadcast(v)
-    schema = docs.withColumn(out, F.lit(None).cast("array<int>")).schema
-    at, names = docs.columns.index(text), docs.columns
+    return spark.sparkContext.broadcast((v, _shown(v)))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``text`` in a column ``out``."""
+    shared, at = _shared(docs.sparkSession, model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        encoder = Encoder(shared.value[0])
         for part in (p for b in batches for p in slices(b, at)):
             texts = contents(part, at)
-            ids = encoder.encode([t or b"" for t in texts])
-            yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, texts)], [*names, out])
+            yield part, [_lists(encoder.encode([t or b"" for t in texts]), texts)]
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, {out: ArrayType(IntegerType())}, run)
 
 
-def decoded(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
+def decoded(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str | None = None) -> DataFrame:
     """``rows`` with the text that ``ids`` stand for in a column ``out``."""
-    shared = rows.sparkSession.sparkContext.broadcast(_shown(load(model)))
-    schema = rows.withColumn(out, F.lit(None).cast("string")).schema
-    at, names = rows.columns.index(ids), rows.columns
+    shared, at = _shared(rows.sparkSession, model), rows.columns.index(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        shown = shared.value[1]
         for batch in batches:
             lists = batch.column(at)
             values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -114,33 +125,26 @@ def decoded(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: str
                 decode(values[a:b], shown).decode("utf-8", "replace") if ok else None
                 for a, b, ok in zip(offsets, offsets[1:], valid)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
+            yield batch, [pa.array(texts, pa.string())]
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, {out: StringType()}, run)
 
 
-def with_round_trip(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
+def with_round_trip(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """``docs`` without ``text``, with ``ids`` and ``exact``: whether decoding
     the ids gave the text back. Both ways in one pass over the texts."""
-    v = load(model)
-    check_vocabulary(v)
-    v.trie  # noqa: B018
-    shared = docs.sparkSession.sparkContext.broadcast((v, _shown(v)))
-    at = docs.columns.index(text)
-    names = [c for i, c in enumerate(docs.columns) if i != at]
-    schema = docs.select(*names, F.lit(None).cast("array<int>").alias("ids"), F.lit(True).alias("exact")).schema
+    shared, at = _shared(docs.sparkSession, model), docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         vocabulary, shown = shared.value
         encoder = Encoder(vocabulary)
         for part in (p for b in batches for p in slices(b, at)):
             texts = contents(part, at)
             ids = encoder.encode([t or b"" for t in texts])
             exact = [decode(i, shown) == (t or b"") for i, t in zip(ids, texts)]
-            kept = [c for i, c in enumerate(part.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, _lists(ids, texts), pa.array(exact, pa.bool_())], [*names, "ids", "exact"])
+            yield part, [_lists(ids, texts), pa.array(exact, pa.bool_())]
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, {"ids": ArrayType(IntegerType()), "exact": BooleanType()}, run, without=at)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
