@@ -4,12 +4,15 @@ Model.  A text is its lower-cased words and an end.  A word, with a marker in
 front, is generated piece by piece, and the model's probability of it is summed
 over all its cuts by a forward recursion in log space; a text's is the product
 over its words and the end's.  The pieces and their prior probabilities are an
-existing vocabulary's.  The scores are adapted to the training documents once:
-the existing scores weight all cuts of every training word, each piece's
-expected number is added to ``PRIOR`` observations shared out by the existing
-scores, and the sums are normalised with the end.  ``prior_score`` is the
-score under the existing scores as they are (the end at one a training
-document), so that the adaptation can be told apart.
+existing vocabulary's.  The scores are adapted to the training documents by
+expectation steps: the scores weight all cuts of every training word, each
+piece's expected number is added to ``PRIOR`` observations shared out by the
+existing scores, and the sums, normalised with the end, are the next scores.
+Steps end when the training words' log probability gains less than ``TOLERANCE``
+of itself, after ``MOST_STEPS`` at the latest; each is one pass over the table of
+distinct words.  ``prior_score`` is the score under the existing scores as they
+are (the end at one a training document), so that the adaptation can be told
+apart.
 
 Base.  A unigram word model with add-one smoothing over the same training
 documents.
@@ -38,14 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.batches import contents, slices
-from quarry.llm.subword import MARK, MODEL, Lattice, load
-from quarry.runtime import materialize
+from quarry.llm.batches import contents, slices, word_blocks
+from quarry.llm.subword import MARK, expected, load, log_sums, model_path
+from quarry.runtime import column, materialize
 
 FREQUENT = 200_000
 PRIOR = 10_000.0
+TOLERANCE = 1e-3
+MOST_STEPS = 8
 FLUSH = 400_000
-BATCH_BYTES = 1 << 18
 FIXED = 1 << 20  # expected numbers are summed as whole multiples of 1 / FIXED
 
 
@@ -53,11 +57,6 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def _words(batch: pa.RecordBatch, at: int) -> Iterator[list[bytes]]:
-    for data in contents(batch, at):
-        yield (data or b"").lower().split()
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` of ``docs(held, text)``: the training documents' counts,
     0 for other words; a null word stands for the end."""
@@ -67,70 +66,77 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             extra = [w for w in other if w not in train]
-            words = [w.decode("utf-8", "replace") for w in (*train, *extra)]
-            counts = [*train.values(), *[0] * len(extra)]
-            return pa.RecordBatch.from_arrays([pa.array([*words, None]), pa.array([*counts, ends], pa.int64())], ["word", "n"])
+            words = pa.array([*train, *extra, None], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([words, pa.array([*train.values(), *[0] * len(extra), ends], pa.int64())], ["word", "n"])
 
         for batch in (p for b in batches for p in slices(b, 1)):
-            held = batch.column(0).to_pylist()
-            for words, h in zip(_words(batch, 1), held):
-                if h:
-                    other.update(words)
-                else:
-                    train.update(words)
-                    ends += 1
-                if len(train) + len(other) > FLUSH:
-                    yield flush()
-                    train, other, ends = Counter(), set(), 0
+            for data, held in zip(contents(batch, 1), batch.column(0).to_pylist()):
+                for words in word_blocks((data or b"").lower()):
+                    (other if held else train).update(words)
+                    if len(train) + len(other) > FLUSH:
+                        yield flush()
+                        train, other, ends = Counter(), set(), 0
+                ends += not held
         yield flush()
 
     return docs.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _lattices(batches: Iterator[pa.RecordBatch], v) -> Iterator[tuple[pa.RecordBatch, Lattice]]:
-    for part in (p for b in batches if b.num_rows for p in slices(b, 0, BATCH_BYTES)):
-        yield part, Lattice([MARK + w for w in contents(part, 0)], v)
-
-
-def adapt(words: DataFrame, ends: int, model: str = MODEL) -> tuple[np.ndarray, float]:
-    """Log probabilities of the pieces and of the end, after one expectation
-    step over ``words(word, n)``. What comes to the driver is a number a piece."""
-    v = load(model)
+def adapt(words: DataFrame, ends: int, model: str | None = None, prior: float = PRIOR, tolerance: float = TOLERANCE, most: int = MOST_STEPS) -> tuple[np.ndarray, float, int]:
+    """Log probabilities of the pieces and of the end, and the number of
+    expectation steps over ``words(word, n)`` that were taken.  What comes to the
+    driver in a step is a number a piece."""
+    spark = words.sparkSession
+    v = load(model or model_path(spark))
     v.trie  # noqa: B018
-    shared = words.sparkSession.sparkContext.broadcast(v)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        total = np.zeros(len(vocabulary.scores))
-        for part, lattice in _lattices(batches, vocabulary):
-            total += lattice.expected(vocabulary.scores, part.column(1).to_numpy(zero_copy_only=False).astype(float))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen.astype(np.int32)), pa.array(np.rint(total[seen] * FIXED).astype(np.int64))], ["piece", "n"]
-        )
-
-    rows = words.filter("n > 0").mapInArrow(run, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(v.scores))
-    counts[rows.column("piece").to_numpy()] = rows.column("n").to_numpy() / FIXED
+    vocabulary = spark.sparkContext.broadcast(v)
     usable = np.isfinite(v.scores)
-    prior = np.where(usable, np.exp(np.where(usable, v.scores, 0)), 0)
-    counts += PRIOR * prior / prior.sum()
-    total = counts.sum() + ends + 1
-    with np.errstate(divide="ignore"):
-        return np.log(counts / total), math.log((ends + 1) / total)
+    share = np.where(usable, np.exp(np.where(usable, v.scores, 0)), 0)
+    share /= share.sum()
+    scores, end, before = v.scores, math.log(0.5), None
+    for step in range(1, most + 1):
+        current = spark.sparkContext.broadcast(scores)
+
+        def run(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
+            total, log = np.zeros(len(current.value)), 0.0
+            for part in (p for b in batches if b.num_rows for p in slices(b, 0)):
+                found, z = expected(_marked(part), vocabulary.value, current.value, part.column(1).to_numpy(zero_copy_only=False).astype(float))
+                total += found
+                log += z
+            seen = np.flatnonzero(total)
+            numbers = np.append(np.rint(total[seen] * FIXED), round(log * FIXED / 1000)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1).astype(np.int32)), pa.array(numbers)], ["piece", "n"])
+
+        rows = words.filter("n > 0").mapInArrow(run, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        found = dict(zip(rows.column("piece").to_pylist(), rows.column("n").to_pylist()))
+        log = found.pop(-1, 0) * 1000 / FIXED
+        counts = prior * share
+        if found:
+            np.add.at(counts, np.array(list(found)), np.array(list(found.values())) / FIXED)
+        total = counts.sum() + ends + 1
+        with np.errstate(divide="ignore"):
+            scores, end = np.log(counts / total), math.log((ends + 1) / total)
+        if not found or (before is not None and log - before < tolerance * abs(before)):
+            break
+        before = log
+    return scores, end, step
+
+
+def _marked(batch: pa.RecordBatch) -> list[bytes]:
+    return [MARK + w for w in contents(batch, 0)]
 
 
-def word_scores(words: DataFrame, pieces: np.ndarray, model: str = MODEL) -> DataFrame:
+def word_scores(words: DataFrame, pieces: np.ndarray, model: str | None = None) -> DataFrame:
     """``words`` with ``z`` and ``prior``: each word's log10 probability under
     the adapted and under the existing scores, summed over all cuts."""
-    v = load(model)
+    v = load(model or model_path(words.sparkSession))
     shared = words.sparkSession.sparkContext.broadcast((v, pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, adapted = shared.value
-        for part, lattice in _lattices(batches, vocabulary):
-            both = [pa.array(lattice.forward(s)[0] / math.log(10)) for s in (adapted, vocabulary.scores)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *both], ["word", "n", "z", "prior"])
+        for part in (p for b in batches if b.num_rows for p in slices(b, 0)):
+            both = log_sums(_marked(part), vocabulary, [adapted, vocabulary.scores])
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(z / math.log(10)) for z in both)], ["word", "n", "z", "prior"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n bigint, z double, prior double")
 
@@ -147,10 +153,10 @@ def _frequent(words: DataFrame, most: int) -> pa.Table:
     return words.filter(F.lit(False) if least is None else level >= least).toArrow()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = MODEL, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score`` and ``prior_score`` of every document."""
-    slim = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text).alias("text"))
+    slim = docs.select(column(id_col).alias("id"), held_out(column(id_col)).alias("held"), column(text).alias("text"))
     counts = materialize(count_words(slim.select("held", "text")), "lm-counts")
     words = counts.filter("word is not null")
     totals = counts.agg(
@@ -158,7 +164,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: st
     ).first()
     n_all, distinct, ends = (int(x or 0) for x in totals)
     distinct += ends > 0
-    pieces, end = adapt(words, ends, model)
+    pieces, end, _ = adapt(words, ends, model)
     table = materialize(word_scores(words, pieces, model), "lm-words")
 
     def base(count):
@@ -173,7 +179,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: st
     end_prior = math.log10((ends + 1) / (n_all + 1)) if n_all else math.log10(0.5)
     end_row = (float(ends > 0), float(base(ends)), end / math.log(10), end_prior)
     id_type = dict(slim.dtypes)["id"]
-    rest_type = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())]))
     names = ["id", "held", "n_tokens", "known", "base", "z", "prior", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +187,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: st
         nowhere = len(rows) - 1
         for batch in batches:
             for part in slices(batch, 2, 1 << 21):
-                sums, n_tokens, rest = np.zeros((part.num_rows, 4)), [], []
-                for i, found in enumerate(_words(part, 2)):
-                    at = np.array([get(w, nowhere) for w in found], np.int64)
-                    sums[i] = rows[at].sum(axis=0) + end_row
-                    n_tokens.append(len(found) + 1)
-                    others = Counter([found[k] for k in np.flatnonzero(at == nowhere)])
-                    rest.append([{"word": w.decode("utf-8", "replace"), "tf": c} for w, c in others.items()])
+                sums, n_tokens, rare, often, ends_at = np.zeros((part.num_rows, 4)), [], [], [], [0]
+                for i, data in enumerate(contents(part, 2)):
+                    others, n = Counter(), 1
+                    for found in word_blocks((data or b"").lower()):
+                        at = np.array([get(w, nowhere) for w in found], np.int64)
+                        sums[i] += rows[at].sum(axis=0)
+                        n += len(found)
+                        others.update([found[k] for k in np.flatnonzero(at == nowhere)])
+                    sums[i] += end_row
+                    n_tokens.append(n)
+                    rare += others
+                    often += others.values()
+                    ends_at.append(len(rare))
+                words = pa.array(rare, pa.binary()).cast(pa.string())
+                rest = pa.StructArray.from_arrays([words, pa.array(often, pa.int32())], ["word", "tf"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(np.rint(sums[:, 0]).astype(np.int64)),
-                        *(pa.array(sums[:, k]) for k in (1, 2, 3)), pa.array(rest, rest_type),
+                        *(pa.array(sums[:, k]) for k in (1, 2, 3)), pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), rest),
                     ],
                     names,
                 )
