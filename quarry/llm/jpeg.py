@@ -1,24 +1,33 @@
-"""Progressive JPEG: coefficients in and out, and pixels.
-
-``decode`` reads baseline-table progressive files (Huffman coding, 8 bits, one
-or three components, any sampling factors up to 2 by 2, restart intervals):
-every scan adds its spectral band, or one more bit of it, to coefficient
-arrays.  ``pixels`` inverse-transforms the arrays in numpy, repeats chroma up to
-full resolution and converts to RGB.
-
-A scan whose Huffman table has a single symbol holds that symbol everywhere:
-its code is one bit, so each coefficient takes a known number of bits and the
-whole scan is read as an array.  Other scans are read symbol by symbol.
-
-``encode_payload`` stores bytes losslessly in such a file: each byte is one AC
-coefficient, read as the 8 bits that follow a symbol of size 8 (128..255 for
-themselves, 0..127 as -255..-128).  They are sent in successive approximation:
-the upper seven bits of two bands first, then the last bit of each.
+"""Progressive JPEG for many files at once: coefficients in and out, and pixels.
+
+``decode_many`` reads progressive files (Huffman coding, 8 bits, one or three
+components, sampling factors up to 2 by 2, restart intervals): every scan adds
+its spectral band, or one more bit of it, to coefficient arrays.  ``pixels``
+inverse-transforms the arrays in numpy, repeats chroma up to full resolution and
+converts to RGB.
+
+Reading is done on arrays.  The bits between two restart markers are a stream;
+all streams of the scans of one kind, of all files, are read in step, a symbol of
+each at a time.  In a first scan the place of the next symbol follows from the
+symbol alone, so places are found first, and values, runs and block ends for all
+symbols together; in a refinement it follows from how many coefficients were
+known before, for which there are running counts.
+
+``encode_many`` stores bytes losslessly in such files: each byte less 128 is one
+AC coefficient (the format's unit), with DC at 0, in 4:2:0.  They are sent by
+spectral selection and successive approximation: all bits but the last in two
+bands of luma and one of each chroma, with code tables for values of every size,
+runs and block ends, then the last bits in refinement scans, restart markers
+every ``INTERVAL`` units.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
+import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,8 +40,16 @@ def _zigzag() -> np.ndarray:
 
 
 ZIGZAG = _zigzag()
-BANDS = ((1, 5), (6, 63))
 AC_PER_BLOCK = 63
+INTERVAL = 8
+#: First scans: (component, first, last coefficient); their refinements.
+FIRST_SCANS = ((0, 1, 5), (0, 6, 63), (1, 1, 63), (2, 1, 63))
+REFINEMENTS = ((0, 1, 63), (1, 1, 63), (2, 1, 63))
+#: Coefficients that are worked on at a time.
+WORK = 1 << 20
+SCAN_END = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+END_OF_BLOCK, ZERO_RUN = 0x00, 0xF0
 
 
 @dataclass
@@ -43,7 +60,30 @@ class Component:
     table: int
     rows: int = 0  # blocks in a scan of this component alone
     cols: int = 0
-    coefficients: np.ndarray = field(default_factory=lambda: np.empty(0))  # (rows, cols, 64), zigzag order
+    down: int = 0  # blocks with those that fill up the last units
+    across: int = 0
+    first: int = 0  # its first block among those of all files
+    coefficients: np.ndarray = field(default_factory=lambda: np.empty(0))  # (down, across, 64), zigzag order
+
+
+@dataclass
+class Scan:
+    components: list[Component]
+    tables: tuple[Huffman | None, ...]  # of each component
+    start: int
+    end: int
+    high: int
+    low: int
+    interval: int
+    data: bytes
+
+    @property
+    def kind(self) -> tuple:
+        """Scans of one kind are read together."""
+        if self.start:
+            return ("refine" if self.high else "first", self.start, self.end, self.low)
+        shape = tuple((c.h, c.v) for c in self.components) if len(self.components) > 1 else ((1, 1),)
+        return ("refine DC", self.low) if self.high else ("DC", self.low, shape, self.tables)
 
 
 @dataclass
@@ -53,6 +93,73 @@ class Image:
     components: list[Component]
     quantization: dict[int, np.ndarray]
     comments: list[bytes]
+    scans: list[Scan]
+
+
+class Huffman:
+    """A code table: of every 16 bits, the length of the code they begin with (0: none) and its symbol."""
+
+    def __init__(self, counts: bytes, symbols: bytes):
+        self.length, self.symbol = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+        self.codes: dict[int, tuple[int, int]] = {}
+        code = at = 0
+        for size, count in enumerate(counts, 1):
+            for symbol in symbols[at : at + count]:
+                if code >= 1 << size:
+                    raise ValueError("too many codes")
+                self.length[code << (16 - size) : (code + 1) << (16 - size)] = size
+                self.symbol[code << (16 - size) : (code + 1) << (16 - size)] = symbol
+                self.codes[symbol] = (code, size)
+                code += 1
+            at += count
+            code <<= 1
+
+
+@functools.lru_cache(maxsize=64)
+def _huffman(counts: bytes, symbols: bytes) -> Huffman:
+    return Huffman(counts, symbols)
+
+
+# -- code tables of our own
+
+
+def _table(weights: dict[int, int]) -> tuple[bytes, bytes]:
+    """Lengths and symbols of a Huffman code for weighted symbols; no code is all ones."""
+    heap = [(w, i, [s]) for i, (s, w) in enumerate(sorted(weights.items()))] + [(0, -1, [-1])]
+    heapq.heapify(heap)
+    depth = dict.fromkeys([*weights, -1], 0)
+    while len(heap) > 1:
+        (a, i, x), (b, j, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for s in x + y:
+            depth[s] += 1
+        heapq.heappush(heap, (a + b, max(i, j), x + y))
+    depth.pop(-1)  # the deepest: the code of ones that stays unused
+    assert max(depth.values()) <= 16
+    order = sorted(depth, key=lambda s: (depth[s], s))
+    return bytes(sum(d == n for d in depth.values()) for n in range(1, 17)), bytes(order)
+
+
+def _first_weights() -> dict[int, int]:
+    """Values of 4 bits are the most frequent (letters), long runs the least."""
+    size = {1: 4, 2: 8, 3: 48, 4: 128, 5: 16, 6: 56, 7: 8}
+    runs = {r << 4 | s: max(1, (w << 6) >> 3 * min(r, 3)) for r in range(16) for s, w in size.items()}
+    return runs | {END_OF_BLOCK: 64, ZERO_RUN: 1} | {r << 4: 1 for r in range(1, 15)}
+
+
+def _refinement_weights() -> dict[int, int]:
+    runs = {r << 4 | 1: max(1, 64 >> min(r, 5)) for r in range(16)}
+    return runs | {END_OF_BLOCK: 256, ZERO_RUN: 1} | {r << 4: 1 for r in range(1, 15)}
+
+
+DC_TABLE = _table({0: 16, 1: 4, 2: 4, 3: 2, 4: 2, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1})
+FIRST_TABLE, REFINEMENT_TABLE = _table(_first_weights()), _table(_refinement_weights())
+
+
+def _codes(table: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    code, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for s, (c, n) in _huffman(*table).codes.items():
+        code[s], size[s] = c, n
+    return code, size
 
 
 # -- writing ----------------------------------------------------------------
@@ -62,135 +169,229 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _huffman(kind: int, ident: int, symbol: int) -> bytes:
-    """A table of one symbol, with the code 0."""
-    return _segment(0xC4, bytes([kind << 4 | ident, 1, *[0] * 15, symbol]))
+def _restarts(blocks: np.ndarray) -> np.ndarray:
+    """The first block of every interval of files with these numbers of blocks, which follow each other; and the end."""
+    count = -(-blocks // INTERVAL)
+    file = np.repeat(np.arange(len(blocks)), count)
+    inner = np.arange(len(file)) - np.repeat(np.cumsum(count) - count, count)
+    return np.append((np.cumsum(blocks) - blocks)[file] + inner * INTERVAL, blocks.sum())
+
+
+def _works(firsts: np.ndarray) -> Iterator[np.ndarray]:
+    """Neighbouring intervals that are worked on together: their first blocks and the end of the last."""
+    at = 0
+    while at < len(firsts) - 1:
+        upto = max(at + 1, int(np.searchsorted(firsts, firsts[at] + WORK // AC_PER_BLOCK, side="right")) - 1)
+        yield firsts[at : upto + 1]
+        at = upto
+
+
+def _aligned(bits: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the bits of each block: where each block begins if intervals begin at
+    whole bytes; each interval's first byte (and the end); the bits its last one lacks."""
+    each = np.add.reduceat(bits, firsts[:-1])
+    ends = np.append(0, np.cumsum((each + 7) >> 3))
+    plain = np.cumsum(bits) - bits
+    interval = np.repeat(np.arange(len(each)), np.diff(firsts))
+    return plain + (8 * ends[:-1] - plain[firsts[:-1]])[interval], ends, -each & 7
+
+
+def _first_scan(values: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """The bits of a band, all but the last of each value, as a piece for each interval."""
+    code, size_of = _codes(FIRST_TABLE)
+    out: list[bytes] = []
+    for part in _works(firsts):
+        v = values[part[0] : part[-1]].astype(np.int32)
+        part = part - part[0]
+        count, n = v.shape
+        m = np.abs(v) >> 1
+        flat = np.flatnonzero(m)
+        block, k = flat // n, flat % n
+        m, negative = m.reshape(-1)[flat], v.reshape(-1)[flat] < 0
+        before = np.append(-1, k[:-1])
+        before[np.append(True, block[1:] != block[:-1])[: len(k)]] = -1
+        run = k - before[: len(k)] - 1
+        size = np.frexp(m.astype(np.float32))[1].astype(np.int64)
+        symbol = (run & 15) << 4 | size
+        zeros, zero_bits = run >> 4, int(size_of[ZERO_RUN])
+        length = size_of[symbol] + size
+        value = code[symbol] << size | np.where(negative, ~m, m) & ((1 << size) - 1)
+        bits = np.bincount(block, weights=length + zeros * zero_bits, minlength=count).astype(np.int64)
+        last = np.full(count, -1)
+        last[block] = k
+        ended = last < n - 1
+        inner = bits.copy()
+        bits += ended * size_of[END_OF_BLOCK]
+        begins, ends, lacking = _aligned(bits, part)
+        spent = np.cumsum(length + zeros * zero_bits)
+        own = spent - length - (np.cumsum(inner) - inner)[block] + begins[block]  # after the zero runs in front
+        at, values_, lengths = [own], [value], [length]
+        if zeros.any():
+            rep = np.repeat(np.arange(len(zeros)), zeros)
+            back = np.arange(len(rep)) - np.repeat(np.cumsum(zeros) - zeros, zeros) + 1
+            at.append(own[rep] - back * zero_bits)
+            values_.append(np.full(len(rep), code[ZERO_RUN]))
+            lengths.append(np.full(len(rep), zero_bits))
+        done = np.flatnonzero(ended)
+        at.append(begins[done] + inner[done])
+        values_.append(np.full(len(done), code[END_OF_BLOCK]))
+        lengths.append(np.full(len(done), size_of[END_OF_BLOCK]))
+        out += _packed(*map(np.concatenate, (at, values_, lengths)), ends, lacking)
+    return out
+
+
+def _packed(at: np.ndarray, value: np.ndarray, length: np.ndarray, ends: np.ndarray, lacking: np.ndarray) -> list[bytes]:
+    """Codes of up to 25 bits at their bits, filled up with ones, as a piece for each interval."""
+    byte, word = at >> 3, (value << (32 - (at & 7) - length)).astype(np.uint32).astype(">u4").view(np.uint8).reshape(-1, 4)
+    size = int(ends[-1])
+    data = np.zeros(size + 4)
+    for k in range(4):  # no two codes have a bit in common
+        data += np.bincount(byte + k, weights=word[:, k], minlength=size + 4)
+    data[ends[1:] - 1] += (1 << lacking) - 1
+    whole = data[:size].astype(np.uint8).tobytes()
+    return [whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def _refinement(values: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """The last bits of a band: those of known coefficients, and the coefficients that become 1 or -1."""
+    code, size_of = _codes(REFINEMENT_TABLE)
+    out: list[bytes] = []
+    for part in _works(firsts):
+        v = values[part[0] : part[-1]].astype(np.int32)
+        part = part - part[0]
+        count, n = v.shape
+        m = np.abs(v).reshape(-1)
+        known, new = m > 1, m == 1
+        # the zeros before each new coefficient in its block, since the new one before
+        zeros = np.cumsum(~known) - ~known  # zeros and new ones before a place
+        fresh = np.flatnonzero(new)
+        block = fresh // n
+        follows = np.append(False, block[1:] == block[:-1])[: len(fresh)]
+        since = np.where(follows, zeros[np.append(0, fresh[:-1])[: len(fresh)]] + 1, zeros[block * n])
+        run = zeros[fresh] - since
+        # an event stands in front of the known coefficients that it passes: zero runs, new ones, block ends
+        places = np.flatnonzero(~known)
+        rep = np.repeat(np.arange(len(fresh)), run >> 4)
+        nth = np.arange(len(rep)) - np.repeat(np.cumsum(run >> 4) - (run >> 4), run >> 4)
+        passed = places[since[rep] + 16 * nth + 15] if len(rep) else np.empty(0, np.int64)
+        last = np.full(count, -1)
+        last[block] = fresh
+        ended = np.flatnonzero(last < (np.arange(count) + 1) * n - 1)
+        event = np.concatenate([passed, fresh, (ended + 1) * n])
+        symbol = np.concatenate([np.full(len(rep), ZERO_RUN), (run & 15) << 4 | 1, np.full(len(ended), END_OF_BLOCK)])
+        sign = np.concatenate([np.zeros(len(rep), np.int64), v.reshape(-1)[fresh] > 0, np.zeros(len(ended), np.int64)])
+        owner = np.concatenate([passed // n, block, ended])
+        key = 2 * event + (symbol != END_OF_BLOCK)  # a block ends before the next one's first place
+        order = np.argsort(key)
+        key, symbol, sign, owner = key[order], symbol[order], sign[order], owner[order]
+        value = np.where(symbol & 15, code[symbol] << 1 | sign, code[symbol])
+        length = size_of[symbol] + (symbol & 15)
+        which = np.flatnonzero(known)
+        of = np.searchsorted(key, 2 * which + 1, side="right")  # a known place lies before its event's
+        bits = np.bincount(owner, weights=length, minlength=count).astype(np.int64) + np.count_nonzero(known.reshape(count, n), axis=1)
+        begins, ends, lacking = _aligned(bits, part)
+        shift = begins - (np.cumsum(bits) - bits)
+        headed = np.cumsum(length)
+        one = headed[of] + np.arange(len(which)) + shift[which // n]
+        head = headed - length + np.searchsorted(of, np.arange(len(key))) + shift[owner]
+        data = np.zeros(8 * int(ends[-1]), np.uint8)
+        data[one] = m[which] & 1
+        for j in range(int(length.max(initial=0))):
+            has = j < length
+            data[head[has] + j] = value[has] >> (length[has] - 1 - j) & 1
+        for j in range(1, 8):
+            data[8 * ends[1:][lacking >= j] - j] = 1
+        whole = np.packbits(data).tobytes()
+        out += [whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+    return out
+
+
+def _with_restarts(pieces: list[bytes]) -> bytes:
+    stuffed = [p.replace(b"\xff", b"\xff\0") for p in pieces]
+    return b"".join(x for k, p in enumerate(stuffed) for x in (p, bytes([0xFF, 0xD0 + k % 8]))[: 1 if k == len(stuffed) - 1 else 2])
+
+
+def _scan_head(components: list[tuple[int, int]], start: int, end: int, high: int, low: int) -> bytes:
+    parts = b"".join(bytes([c, t]) for c, t in components)
+    return _segment(0xDA, bytes([len(components)]) + parts + bytes([start, end, high << 4 | low]))
 
 
-def _scan(components: list[tuple[int, int]], start: int, end: int, high: int, low: int, data: bytes) -> bytes:
-    """A scan header and its bits, zeros stuffed after 0xFF."""
-    parts = b"".join(bytes([c, t]) for c, t in components)
-    return _segment(0xDA, bytes([len(components)]) + parts + bytes([start, end, high << 4 | low])) + data.replace(b"\xff", b"\xff\0")
-
-
-def _packed(bits: np.ndarray) -> bytes:
-    """Bits as bytes, filled up with ones."""
-    return np.packbits(np.concatenate([bits.reshape(-1), np.ones(-bits.size % 8, np.uint8)])).tobytes()
-
-
-def encode_payload(payload: bytes) -> bytes:
-    """A progressive 4:2:0 file that holds ``payload``; its length goes into a comment."""
-    blocks = -(-len(payload) // AC_PER_BLOCK)
-    mcus = max(1, -(-blocks // 6))
-    across = min(4095, max(1, int(np.ceil(np.sqrt(mcus)))))
-    down = -(-mcus // across)
-    if down > 4095:
-        raise ValueError("payload too large for one image")
-    sizes = [across * down * 4, across * down, across * down]
-    raw = np.full(sum(sizes) * AC_PER_BLOCK, 255, np.uint8)
-    raw[: len(payload)] = np.frombuffer(payload, np.uint8)
-    values = raw.reshape(-1, AC_PER_BLOCK)
-    out = [
-        b"\xff\xd8",
-        _segment(0xFE, b"payload " + str(len(payload)).encode()),
+HEAD = b"".join(
+    [
         _segment(0xDB, bytes([0]) + bytes([1] * 64)),
-        _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
-        _huffman(0, 0, 0),  # DC differences: none
-        _scan([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 0, _packed(np.zeros(sum(sizes), np.uint8))),
-        _huffman(1, 0, 7),  # the first seven bits of a coefficient, no run before it
-        _huffman(1, 1, 0),  # refinement: no new coefficient to the end of the block
+        _segment(0xC4, bytes([0x00]) + b"".join(DC_TABLE)),
+        _segment(0xC4, bytes([0x10]) + b"".join(FIRST_TABLE)),
+        _segment(0xC4, bytes([0x11]) + b"".join(REFINEMENT_TABLE)),
+        _segment(0xDD, struct.pack(">H", INTERVAL)),
     ]
-    # a negative value's bits are those of value - 1; its last bit is sent as it is in the magnitude
-    last = (values ^ (values >> 7) ^ 1) & 1
-    # the code 0 and seven bits: one byte a coefficient
-    first = values >> 1
-    ends = np.cumsum(sizes)
-    for high, low in ((0, 1), (1, 0)):
-        for ident, (lo, hi) in enumerate(zip(ends - sizes, ends), 1):
-            for a, b in BANDS:
-                if low:
-                    out.append(_scan([(ident, 0)], a, b, high, low, first[lo:hi, a - 1 : b].tobytes()))
-                else:
-                    data = np.zeros((hi - lo, b - a + 2), np.uint8)
-                    data[:, 1:] = last[lo:hi, a - 1 : b]
-                    out.append(_scan([(ident, 1)], a, b, high, low, _packed(data)))
-    out.append(b"\xff\xd9")
-    return b"".join(out)
+)
+
+
+def encode_many(payloads: list[bytes]) -> list[bytes]:
+    """A progressive 4:2:0 file for each payload; its length goes into a comment."""
+    planes: list[list[np.ndarray]] = [[], [], []]
+    sizes = []
+    for payload in payloads:
+        mcus = max(1, -(-len(payload) // (AC_PER_BLOCK * 6)))
+        across = min(4095, max(1, int(np.ceil(np.sqrt(mcus)))))
+        down = -(-mcus // across)
+        if down > 4095:
+            raise ValueError("payload too large for one image")
+        units = across * down
+        raw = np.full(units * 6 * AC_PER_BLOCK, 255, np.uint8)
+        raw[: len(payload)] = np.frombuffer(payload, np.uint8)
+        values = raw.reshape(-1, AC_PER_BLOCK)
+        for plane, own in zip(planes, (values[: 4 * units], values[4 * units : 5 * units], values[5 * units :])):
+            plane.append(own)
+        sizes.append((across, down))
+    units = np.array([a * d for a, d in sizes], np.int64)
+    stacked = [np.concatenate(p).astype(np.int16) - 128 if p else np.empty((0, AC_PER_BLOCK), np.int16) for p in planes]
+    scans = []  # a head and the pieces of all files
+    for scan, of in [(_first_scan, FIRST_SCANS), (_refinement, REFINEMENTS)]:
+        refined = scan is _refinement
+        for c, a, b in of:
+            blocks = units * (4 if c == 0 else 1)
+            pieces = scan(stacked[c][:, a - 1 : b], _restarts(blocks)) if len(units) else []
+            scans.append((_scan_head([(c + 1, int(refined))], a, b, int(refined), int(not refined)), pieces, -(-blocks // INTERVAL)))
+    zero, zero_bits = _huffman(*DC_TABLE).codes[0]
+    out, at = [], [0] * len(scans)
+    for payload, (across, down) in zip(payloads, sizes):
+        left, dc = across * down, []
+        while left > 0:  # every difference is 0
+            n = 6 * min(INTERVAL, left) * zero_bits
+            code = int(format(zero, f"0{zero_bits}b") * (n // zero_bits), 2)
+            dc.append((code << (-n & 7) | (1 << (-n & 7)) - 1).to_bytes((n + 7) // 8, "big"))
+            left -= INTERVAL
+        parts = [
+            b"\xff\xd8", _segment(0xFE, b"payload " + str(len(payload)).encode()), HEAD,
+            _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
+            _scan_head([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 0), _with_restarts(dc),
+        ]
+        for s, (head, pieces, counts) in enumerate(scans):
+            count = int(counts[len(out)])
+            parts += [head, _with_restarts(pieces[at[s] : at[s] + count])]
+            at[s] += count
+        out.append(b"".join([*parts, b"\xff\xd9"]))
+    return out
 
 
 def read_payload(image: Image) -> bytes:
-    """The payload of a file that ``encode_payload`` wrote."""
+    """The payload of a file that ``encode_many`` wrote."""
     size = next(int(c[8:]) for c in image.comments if c.startswith(b"payload "))
     values = np.concatenate([c.coefficients.reshape(-1, 64)[:, 1:].reshape(-1) for c in image.components])[:size]
-    return np.where(values > 0, values, values + 255).astype(np.uint8).tobytes()
+    return (values + 128).astype(np.uint8).tobytes()
 
 
 # -- reading ----------------------------------------------------------------
 
 
-@dataclass
-class Huffman:
-    single: int | None
-    lookup: dict[tuple[int, int], int]
-
-
-def _read_huffman(body: bytes) -> dict[tuple[int, int], Huffman]:
-    tables, at = {}, 0
-    while at < len(body):
-        kind, ident = body[at] >> 4, body[at] & 15
-        counts = body[at + 1 : at + 17]
-        at += 17
-        code, lookup = 0, {}
-        for length, count in enumerate(counts, 1):
-            for _ in range(count):
-                lookup[length, code] = body[at]
-                code, at = code + 1, at + 1
-            code <<= 1
-        single = next(iter(lookup.values())) if list(lookup) == [(1, 0)] else None
-        tables[kind, ident] = Huffman(single, lookup)
-    return tables
-
-
-class Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.end = data, 0, len(data) * 8
-
-    def bit(self) -> int:
-        if self.at >= self.end:
-            raise ValueError("scan ends early")
-        b = self.data[self.at >> 3] >> (7 - (self.at & 7)) & 1
-        self.at += 1
-        return b
-
-    def take(self, n: int) -> int:
-        value = 0
-        for _ in range(n):
-            value = value << 1 | self.bit()
-        return value
-
-    def symbol(self, table: Huffman) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.bit()
-            if (found := table.lookup.get((length, code))) is not None:
-                return found
-        raise ValueError("no such Huffman code")
-
-    def signed(self, size: int) -> int:
-        if not size:
-            return 0
-        value = self.take(size)
-        return value if value >> (size - 1) else value - (1 << size) + 1
-
-
-def decode(data: bytes) -> Image:
-    """All coefficients of a progressive file."""
+def _parse(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     image, tables, interval, at = None, {}, 0, 2
     quantization: dict[int, np.ndarray] = {}
     comments: list[bytes] = []
-    while at < len(data):
+    while at + 1 < len(data):
         if data[at] != 0xFF:
             raise ValueError("a marker is missing")
         marker = data[at + 1]
@@ -199,7 +400,7 @@ def decode(data: bytes) -> Image:
             continue
         if marker == 0xD9:
             break
-        size = struct.unpack_from(">H", data, at + 2)[0]
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
@@ -210,9 +411,13 @@ def decode(data: bytes) -> Image:
                 quantization[body[k] & 15] = values.astype(np.float32)
                 k += 1 + 64 * (2 if wide else 1)
         elif marker == 0xC4:
-            tables |= _read_huffman(body)
+            k = 0
+            while k < len(body):
+                count = sum(body[k + 1 : k + 17])
+                tables[body[k]] = _huffman(body[k + 1 : k + 17], body[k + 17 : k + 17 + count])
+                k += 17 + count
         elif marker == 0xDD:
-            interval = struct.unpack(">H", body)[0]
+            interval = int.from_bytes(body, "big")
         elif marker == 0xFE:
             comments.append(body)
         elif marker == 0xC2:
@@ -220,11 +425,20 @@ def decode(data: bytes) -> Image:
         elif marker in (0xC0, 0xC1, *range(0xC3, 0xD0)):
             raise ValueError("not a progressive file with Huffman codes")
         elif marker == 0xDA:
-            end = at
-            while not (data[end] == 0xFF and data[end + 1] not in (0, *range(0xD0, 0xD8))):
-                end = data.index(b"\xff", end + 1)
-            _read_scan(image, tables, interval, body, data[at:end])
-            at = end
+            m = SCAN_END.search(data, at)
+            if image is None or m is None:
+                raise ValueError("a scan without a frame or an end")
+            n = body[0]
+            chosen = [next(c for c in image.components if c.ident == body[1 + 2 * i]) for i in range(n)]
+            start, end, approx = body[1 + 2 * n : 4 + 2 * n]
+            if not 0 <= start <= end < 64 or (start and n > 1) or (not start and end):
+                raise ValueError("no such band")
+            kinds = [body[2 + 2 * i] for i in range(n)]
+            used = tuple(tables.get(0x10 | t & 15 if start else t >> 4) for t in kinds)
+            if None in used and not (start == 0 and approx >> 4):
+                raise ValueError("a code table is missing")
+            image.scans.append(Scan(chosen, used, start, end, approx >> 4, approx & 15, interval, data[at : m.start()]))
+            at = m.start()
     if image is None:
         raise ValueError("no frame")
     return image
@@ -237,155 +451,262 @@ def _frame(body: bytes, quantization: dict[int, np.ndarray], comments: list[byte
     across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
     for c in parts:
         c.cols, c.rows = -(-(-(-width * c.h // hmax)) // 8), -(-(-(-height * c.v // vmax)) // 8)
-        c.coefficients = np.zeros((down * c.v, across * c.h, 64), np.int16)
-    return Image(width, height, parts, quantization, comments)
-
-
-def _read_scan(image: Image, tables: dict, interval: int, head: bytes, data: bytes) -> None:
-    n = head[0]
-    chosen = [(next(c for c in image.components if c.ident == head[1 + 2 * i]), head[2 + 2 * i]) for i in range(n)]
-    start, end, approx = head[1 + 2 * n : 4 + 2 * n]
-    high, low = approx >> 4, approx & 15
-    if not interval and _read_uniform(chosen, tables, start, end, high, low, data):
-        return
-    pieces, clean = [], []
-    k = 0
-    while k < len(data):  # cut at restart markers
-        j = data.find(b"\xff", k)
-        if j < 0:
-            clean.append(data[k:])
-            break
-        clean.append(data[k:j])
-        if j + 1 < len(data) and 0xD0 <= data[j + 1] <= 0xD7:
-            pieces.append(b"".join(clean))
-            clean = []
+        c.down, c.across = down * c.v, across * c.h
+    return Image(width, height, parts, quantization, comments, [])
+
+
+class _Streams:
+    """The bits between restart markers of some scans of one kind, end to end."""
+
+    def __init__(self, scans: list[Scan], blocks: list[np.ndarray] | None):
+        """``blocks``: the blocks of each scan in its order, where they are not those of one component."""
+        pieces, count, owner = [], [], []
+        sizes, units = np.zeros(len(scans), np.int64), np.ones(len(scans), np.int64)
+        for s, scan in enumerate(scans):
+            c = scan.components[0]
+            sizes[s] = c.rows * c.cols if blocks is None else len(blocks[s])
+            if len(scan.components) > 1:
+                units[s] = sum(c.h * c.v for c in scan.components)
+            own = RESTART.split(scan.data) if scan.interval else [scan.data]
+            step = scan.interval * int(units[s]) if scan.interval else int(sizes[s])
+            if len(own) != max(1, -(-int(sizes[s]) // max(step, 1))):
+                raise ValueError("restart markers are missing")
+            pieces += own
+            owner += [s] * len(own)
+            count += [min(step, int(sizes[s]) - k * step) for k in range(len(own))]
+        self.scan, self.count = np.array(owner, np.int64), np.array(count, np.int64)
+        if blocks is None:
+            local = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = lambda name: np.repeat([getattr(x.components[0], name) for x in scans], sizes)
+            cols = at("cols")
+            self.block = at("first") + local // cols * at("across") + local % cols
         else:
-            clean.append(b"\xff")
-        k = j + 2
-    pieces.append(b"".join(clean))
-    if n == 1:
-        c = chosen[0][0]
-        units = [[(c, chosen[0][1], r, k)] for r in range(c.rows) for k in range(c.cols)]
-    else:
-        down, across = chosen[0][0].coefficients.shape[0] // chosen[0][0].v, chosen[0][0].coefficients.shape[1] // chosen[0][0].h
-        units = [
-            [(c, t, r * c.v + y, k * c.h + x) for c, t in chosen for y in range(c.v) for x in range(c.h)]
-            for r in range(down) for k in range(across)
-        ]
-    step = interval or len(units)
-    for p, first in zip(pieces, range(0, len(units), step)):
-        bits, before, run = Bits(p), {}, [0]
-        for unit in units[first : first + step]:
-            for c, t, r, k in unit:
-                block = c.coefficients[r, k]
-                if start == 0:
-                    if high:
-                        block[0] |= bits.bit() << low
-                    else:
-                        before[c.ident] = before.get(c.ident, 0) + bits.signed(bits.symbol(tables[0, t >> 4]))
-                        block[0] = before[c.ident] << low
-                elif high:
-                    _refine(bits, tables[1, t & 15], block, start, end, low, run)
-                else:
-                    _first(bits, tables[1, t & 15], block, start, end, low, run)
-
-
-def _first(bits: Bits, table: Huffman, block: np.ndarray, start: int, end: int, low: int, run: list[int]) -> None:
-    """A band of one block, sent for the first time. ``run[0]``: blocks that are yet to end at once."""
-    if run[0]:
-        run[0] -= 1
-        return
-    k = start
-    while k <= end:
-        symbol = bits.symbol(table)
-        zeros, size = symbol >> 4, symbol & 15
-        if size:
-            k += zeros
-            block[k] = bits.signed(size) * (1 << low)
-            k += 1
-        elif zeros == 15:
-            k += 16
+            self.block = np.concatenate(blocks)
+        self.begin = np.cumsum(self.count) - self.count
+        plain = [p.replace(b"\xff\0", b"\xff") + b"\xff" * 8 for p in pieces]
+        ends = np.cumsum([len(p) for p in plain])
+        self.bit = 8 * (ends - [len(p) for p in plain])
+        b = np.frombuffer(b"".join(plain) + b"\xff" * 4, np.uint8).astype(np.uint32)
+        self.words = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+
+    def bits(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """The ``n`` bits, up to 16, at some places."""
+        return (self.words[at >> 3].astype(np.int64) >> (32 - (at & 7) - n)) & ((1 << n) - 1)
+
+    def groups(self, n: int) -> Iterator[np.ndarray]:
+        """Streams that are read together, by the size of what they hold."""
+        order = np.argsort(-self.count, kind="stable")
+        ends = np.cumsum(self.count[order] * n)
+        at = 0
+        while at < len(order):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORK, side="right")))
+            yield np.sort(order[at:upto])
+            at = upto
+
+    def symbols(self, which: np.ndarray, tables: list[Huffman], table_of: np.ndarray | None, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All symbols of some streams, in their order: how many there are of each
+        stream, the symbols, and where what follows their codes begins.  ``extra`` tells the bits after a
+        symbol.  The table of a stream is ``table_of`` it, or (None) that of the place of a symbol, in turn."""
+        steps = [np.where(t.length > 0, t.length.astype(np.int64) + extra[t.symbol], 0) for t in tables]
+        if table_of is not None:
+            stacked = np.stack(steps)
+            kinds = table_of[which]
+        at, live, found = self.bit[which].copy(), np.arange(len(which)), []
+        while len(live):
+            window = (self.words[at >> 3] >> (16 - (at & 7)).astype(np.uint32)) & 0xFFFF
+            if table_of is None:
+                step = steps[len(found) % len(steps)][window]
+            else:
+                step = steps[0][window] if len(steps) == 1 else stacked[kinds[live], window]
+            ok = step > 0  # else the stream has ended: it is filled up with ones, which are no code
+            if not ok.all():
+                live, at, step = live[ok], at[ok], step[ok]
+            found.append((live, at))
+            at = at + step
+        count = np.zeros(len(which), np.int64)
+        for live, _ in found:
+            count[live] += 1
+        begin = np.cumsum(count) - count
+        places = np.zeros(int(count.sum()), np.int64)
+        for k, (live, at) in enumerate(found):
+            places[begin[live] + k] = at
+        window = self.bits(places, 16)
+        owner = np.repeat(np.arange(len(which)), count)
+        if table_of is None:
+            turn = (np.arange(len(places)) - begin[owner]) % len(tables)
         else:
-            run[0] = (1 << zeros) + bits.take(zeros) - 1
-            return
+            turn = kinds[owner]
+        length, symbol = np.stack([t.length for t in tables]), np.stack([t.symbol for t in tables])
+        return count, symbol[turn, window].astype(np.int64), places + length[turn, window]
+
+
+_AFTER = np.arange(256)
+#: Bits after a symbol of a first AC scan: a value's, or those of a number of blocks that end.
+AC_EXTRA = np.where(_AFTER & 15, _AFTER & 15, np.where(_AFTER >> 4 < 15, _AFTER >> 4, 0))
+
+
+def _tables(scans: list[Scan]) -> tuple[list[Huffman], np.ndarray]:
+    distinct = list(dict.fromkeys(s.tables[0] for s in scans))
+    return distinct, np.array([distinct.index(s.tables[0]) for s in scans])
+
+
+def _signed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.where((size > 0) & (value >> np.maximum(size - 1, 0) == 0), value - (1 << size) + 1, value)
+
+
+def _read_first(store: np.ndarray, scans: list[Scan], start: int, end: int, low: int) -> None:
+    """Bands that are sent for the first time."""
+    streams, n = _Streams(scans, None), end - start + 1
+    tables, of = _tables(scans)
+    for which in streams.groups(n):
+        count, symbol, after = streams.symbols(which, tables, of[streams.scan], AC_EXTRA)
+        if not count.all():
+            raise ValueError("a scan ends early")
+        run, size = symbol >> 4, symbol & 15
+        value = streams.bits(after, AC_EXTRA[symbol])
+        ends = (size == 0) & (run < 15)
+        step = np.where(size > 0, run + 1, np.where(ends, 0, 16))
+        blocks = np.where(ends, (1 << run) + value, 0)
+        first = np.zeros(len(symbol), bool)  # of a run of symbols up to an end of blocks
+        opening = np.cumsum(count) - count
+        first[opening] = True
+        first[1:] |= ends[:-1]
+        heads = np.flatnonzero(first)
+        tails = np.append(heads[1:], len(symbol)) - 1
+        upto = np.cumsum(step)
+        base = upto[heads] - step[heads]
+        taken = (upto[tails] - base) // n + blocks[tails]
+        owner = np.searchsorted(opening, heads, side="right") - 1
+        sums = np.cumsum(taken) - taken
+        begun = sums - sums[np.searchsorted(heads, opening)][owner]  # blocks of the stream before
+        if not np.array_equal(np.bincount(owner, weights=taken, minlength=len(which)).astype(np.int64), streams.count[which]):
+            raise ValueError("a scan has other blocks than the frame")
+        part = np.cumsum(first) - 1
+        place = begun[part] * n + upto - base[part]  # after the coefficient
+        if ((place - step) % n + step > n).any():
+            raise ValueError("a run leaves its block")
+        hit = size > 0
+        place, stream = place[hit] - 1, owner[part[hit]]
+        block = streams.block[streams.begin[which][stream] + place // n]
+        store[block, start + place % n] = _signed(value[hit], size[hit]) << low
+
+
+def _read_refinement(store: np.ndarray, scans: list[Scan], start: int, end: int, low: int) -> None:
+    """One more bit for the coefficients of a band, and those that it makes non-zero."""
+    streams, n = _Streams(scans, None), end - start + 1
+    tables, of = _tables(scans)
+    length, symbols = np.stack([t.length for t in tables]), np.stack([t.symbol for t in tables])
+    for which in streams.groups(n):
+        count = streams.count[which]
+        begin = np.cumsum(count) - count
+        inner = np.arange(int(count.sum())) - np.repeat(begin, count)
+        block = streams.block[np.repeat(streams.begin[which], count) + inner]
+        band = store[block, start : end + 1]
+        flat = band.reshape(-1).astype(np.int64)
+        known = flat != 0
+        empty = np.append(np.flatnonzero(~known), np.full(17, len(flat) + n))  # places without a value yet
+        before = np.append(0, np.cumsum(~known))  # how many of these there are before a place
+        at, place, last = streams.bit[which].copy(), begin * n, (begin + count) * n
+        table, live = of[streams.scan[which]], np.arange(len(which))
+        corrections, fresh = [], []
+        while len(live := live[place[live] < last[live]]):
+            p, g = at[live], place[live]
+            window = streams.bits(p, 16)
+            size, symbol = length[table[live], window].astype(np.int64), symbols[table[live], window].astype(np.int64)
+            if not size.all():
+                raise ValueError("no such code")
+            run, kind = symbol >> 4, symbol & 15
+            if (kind > 1).any():
+                raise ValueError("no such symbol in a refinement")
+            ends = (kind == 0) & (run < 15)
+            z = before[g]
+            blocks = (1 << run) + streams.bits(p + size, np.where(ends, run, 0))
+            target = empty[np.minimum(z + run, len(empty) - 1)]
+            to = np.where(ends, (g // n + blocks) * n, target + 1)
+            if (to > last[live]).any() or ((to - 1) // n != g // n)[~ends].any():
+                raise ValueError("a run leaves its block")
+            bits = p + size + np.where(ends, run, kind)
+            passed = (to - g) - (before[to] - z)
+            corrections.append((bits, passed, g - z))
+            new = kind == 1
+            fresh.append((target[new], streams.bits(p + size, 1)[new]))
+            at[live], place[live] = bits + passed, to
+        if corrections:
+            bits, passed, first = (np.concatenate(x) for x in zip(*corrections))
+            inner = np.arange(int(passed.sum())) - np.repeat(np.cumsum(passed) - passed, passed)
+            hit = streams.bits(np.repeat(bits, passed) + inner, 1) == 1
+            where = np.flatnonzero(known)[(np.repeat(first, passed) + inner)[hit]]
+            flat[where] += np.sign(flat[where]) << low
+            target, sign = (np.concatenate(x) for x in zip(*fresh))
+            flat[target] = (2 * sign - 1) << low
+        store[block, start : end + 1] = flat.reshape(-1, n)
+
+
+def _units(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of a scan in its order, and the component of each block of a unit."""
+    if len(scan.components) == 1:
+        c = scan.components[0]
+        grid = c.first + np.arange(c.rows)[:, None] * c.across + np.arange(c.cols)[None, :]
+        return grid.reshape(-1), np.zeros(1, np.int64)
+    parts = []
+    for c in scan.components:
+        grid = c.first + np.arange(c.down * c.across).reshape(c.down // c.v, c.v, c.across // c.h, c.h)
+        parts.append(grid.transpose(0, 2, 1, 3).reshape(-1, c.h * c.v))
+    return np.concatenate(parts, axis=1).reshape(-1), np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts])
+
+
+def _read_dc(store: np.ndarray, scans: list[Scan], low: int) -> None:
+    units = [_units(s) for s in scans]
+    streams, part = _Streams(scans, [u[0] for u in units]), units[0][1]
+    tables = [scans[0].tables[k] for k in part]
+    for which in streams.groups(1):
+        count, symbol, after = streams.symbols(which, tables, None, np.minimum(_AFTER, 15))
+        if not np.array_equal(count, streams.count[which]):
+            raise ValueError("a scan has other blocks than the frame")
+        change = _signed(streams.bits(after, symbol), symbol)
+        owner = np.repeat(np.arange(len(which)), count)
+        inner = np.arange(len(symbol)) - np.repeat(np.cumsum(count) - count, count)
+        block = streams.block[streams.begin[which][owner] + inner]
+        for c in range(int(part.max()) + 1):
+            own = np.flatnonzero(part[inner % len(part)] == c)
+            sums = np.cumsum(change[own])
+            head = np.searchsorted(owner[own], np.arange(len(which)))
+            store[block[own], 0] = (sums - (sums - change[own])[head][owner[own]]) << low
+
+
+def _read_dc_refinement(store: np.ndarray, scans: list[Scan], low: int) -> None:
+    streams = _Streams(scans, [_units(s)[0] for s in scans])
+    inner = np.arange(len(streams.block)) - np.repeat(streams.begin, streams.count)
+    store[streams.block, 0] |= (streams.bits(np.repeat(streams.bit, streams.count) + inner, 1) << low).astype(np.int16)
+
+
+READERS = {"first": _read_first, "refine": _read_refinement, "DC": _read_dc, "refine DC": _read_dc_refinement}
+
+
+def decode_many(files: list[bytes]) -> list[Image]:
+    """All coefficients of progressive files."""
+    images = [_parse(f) for f in files]
+    blocks = 0
+    for image in images:
+        for c in image.components:
+            c.first, blocks = blocks, blocks + c.down * c.across
+    store = np.zeros((blocks, 64), np.int16)
+    for image in images:
+        for c in image.components:
+            c.coefficients = store[c.first : c.first + c.down * c.across].reshape(c.down, c.across, 64)
+    for k in range(max((len(i.scans) for i in images), default=0)):
+        kinds: dict[tuple, list[Scan]] = {}
+        for image in images:
+            if k < len(image.scans):
+                kinds.setdefault(image.scans[k].kind, []).append(image.scans[k])
+        for kind, scans in kinds.items():
+            numbers = [x for x in kind[1:] if isinstance(x, int)]
+            READERS[kind[0]](store, scans, *numbers)
+    return images
 
 
-def _refine(bits: Bits, table: Huffman, block: np.ndarray, start: int, end: int, low: int, run: list[int]) -> None:
-    """One more bit for the coefficients of a band, and those that it makes non-zero."""
-    bit = 1 << low
-
-    def correct(k: int) -> None:
-        if bits.bit() and not abs(int(block[k])) & bit:
-            block[k] += bit if block[k] > 0 else -bit
-
-    k = start
-    if not run[0]:
-        while k <= end:
-            symbol = bits.symbol(table)
-            zeros, size = symbol >> 4, symbol & 15
-            new = 0
-            if size:
-                new = bit if bits.bit() else -bit
-            elif zeros < 15:
-                run[0] = (1 << zeros) + bits.take(zeros)
-                break
-            while k <= end:
-                if block[k]:
-                    correct(k)
-                elif not zeros:
-                    if new:
-                        block[k] = new
-                    k += 1
-                    break
-                else:
-                    zeros -= 1
-                k += 1
-    if run[0]:
-        for j in range(k, end + 1):
-            if block[j]:
-                correct(j)
-        run[0] -= 1
-
-
-def _read_uniform(chosen: list, tables: dict, start: int, end: int, high: int, low: int, data: bytes) -> bool:
-    """Read a scan in which every symbol is the same, as one array; False if it isn't such a scan."""
-    if start == 0:
-        if high or any(tables[0, t >> 4].single != 0 for _, t in chosen):
-            return False
-        for c, _ in chosen:  # every difference is 0
-            c.coefficients[:, :, 0] = 0
-        return True
-    c, t = chosen[0]
-    single, n = tables[1, t & 15].single, end - start + 1
-    blocks = c.coefficients[: c.rows, : c.cols]
-    count = c.rows * c.cols
-    if single is None or single > 15:
-        return False
-    if not high and single:
-        stride = n * (1 + single)
-    elif high and single == 0:
-        if not blocks[:, :, start : end + 1].all():
-            return False
-        stride = n + 1
-    else:
-        return False
-    if count * stride > len(data) * 8:
-        return False
-    plain = np.frombuffer(data.replace(b"\xff\0", b"\xff"), np.uint8)
-    if high:
-        bits = np.unpackbits(plain, count=count * stride)
-        add = bits.reshape(count, stride)[:, 1:].reshape(c.rows, c.cols, n).astype(np.int16) << low
-        band = blocks[:, :, start : end + 1]
-        blocks[:, :, start : end + 1] = band + np.where(band > 0, add, -add)
-        return True
-    if single == 7:  # with its code, a byte a coefficient
-        value = (plain[: count * n] & 127).astype(np.int16)
-    else:
-        bits = np.unpackbits(plain, count=count * stride).reshape(count * n, 1 + single)
-        value = (bits[:, 1:].astype(np.int32) @ (1 << np.arange(single - 1, -1, -1))).astype(np.int16)
-    value = np.where(value >> (single - 1), value, value - ((1 << single) - 1)).astype(np.int16)
-    blocks[:, :, start : end + 1] = (value << low).reshape(c.rows, c.cols, n)
-    return True
+def decode(data: bytes) -> Image:
+    return decode_many([data])[0]
 
 
 # -- pixels -----------------------------------------------------------------
@@ -405,28 +726,32 @@ INVERSE = _inverse()
 def samples(image: Image, c: Component) -> np.ndarray:
     """A component's samples, whole blocks, 0 to 255."""
     rows, cols, _ = c.coefficients.shape
-    table = image.quantization[c.table][:, None] * INVERSE
-    out = c.coefficients.reshape(-1, 64).astype(np.float32) @ table
-    out += 128.5
-    out = np.clip(out, 0, 255.5).astype(np.uint8)
+    table, flat = image.quantization[c.table][:, None] * INVERSE, c.coefficients.reshape(-1, 64)
+    out = np.empty((rows * cols, 64), np.uint8)
+    for at in range(0, len(flat), WORK // 64):
+        plain = flat[at : at + WORK // 64].astype(np.float32) @ table
+        plain += 128.5
+        out[at : at + WORK // 64] = np.clip(plain, 0, 255.5)
     return out.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
 
 
 def pixels(image: Image) -> np.ndarray:
     """The full-resolution RGB tensor, (height, width, 3) of bytes."""
     hmax, vmax = max(c.h for c in image.components), max(c.v for c in image.components)
-    planes = []
-    for c in image.components:
-        plane = samples(image, c)
-        plane = plane.repeat(vmax // c.v, axis=0).repeat(hmax // c.h, axis=1)
-        planes.append(plane[: image.height, : image.width])
+    planes = [samples(image, c) for c in image.components]
     if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, axis=2)
-    y, cb, cr = planes
-    # fixed-point conversion, so that equal files give equal bytes everywhere
-    y = (y.astype(np.int32) << 16) + (1 << 15)
-    cb, cr = cb.astype(np.int32) - 128, cr.astype(np.int32) - 128
-    rgb = np.empty((*y.shape, 3), np.uint8)
-    for k, value in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
-        rgb[:, :, k] = np.clip(value >> 16, 0, 255)
+        return np.repeat(planes[0][: image.height, : image.width, None], 3, axis=2)
+    rgb = np.empty((image.height, image.width, 3), np.uint8)
+    band = max(1, WORK // max(1, image.width) // 16) * 16
+    for top in range(0, image.height, band):
+        rows = slice(top, min(top + band, image.height))
+        full = []
+        for c, plane in zip(image.components, planes):
+            part = plane[top * c.v // vmax : -(-rows.stop * c.v // vmax)]
+            part = part.repeat(vmax // c.v, axis=0).repeat(hmax // c.h, axis=1)
+            full.append(part[: rows.stop - top, : image.width].astype(np.int32))
+        # fixed-point conversion, so that equal files give equal bytes everywhere
+        y, cb, cr = (full[0] << 16) + (1 << 15), full[1] - 128, full[2] - 128
+        for k, value in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+            rgb[rows, :, k] = np.clip(value >> 16, 0, 255)
     return rgb
