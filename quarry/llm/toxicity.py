@@ -9,13 +9,16 @@ evidence by itself: of the hashed words a model uses the ``features`` with the
 highest chi-square on its training rows.
 
 Bounds.  The models are fitted on the driver on at most ``train_rows`` labelled
-documents, those with the smallest hash of their id; what is collected of each
-is its set of hashed words, cut off at none.  Scoring runs over all documents
-with a broadcast of ``2 ** bits`` weights a category, whatever the corpus.
+documents, those with the smallest hash of their id, one row an id; what is
+collected of each is its set of hashed words, of more than ``train_words`` those
+with the smallest hashes (262 MB at most by default).  Scoring runs over all
+words of all documents with a broadcast of ``2 ** bits`` weights a category,
+whatever the corpus.  The order of the input changes nothing.
 
 Defined cases: a null text counts as empty; labels that are null, contradictory
 (one id with two labels: the larger counts) or without a document are handled
-or left out; with fewer than two classes in a category its probability is the
+or left out; of documents with one id that with the smallest hash of its text is
+learned from; with fewer than two classes in a category its probability is the
 share seen (0 without labels); repeated rows are scored alike; an empty table
 gives an empty result; further columns are kept, whatever their names.
 """
@@ -28,15 +31,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quarry.llm.batches import contents, slices
+from quarry.llm.rows import everything, mapped
+from quarry.runtime import column, fresh, materialize
 
 BITS = 20
 FEATURES = 128
 FOLDS = 5
 TRAIN_ROWS = 8000
+TRAIN_WORDS = 8192
 THRESHOLD = 0.5
 
 #: ASCII letters to lower case, bytes of other letters as they are, all else to a space.
@@ -121,12 +129,13 @@ def _score(model: Linear, docs: list[np.ndarray], earlier: np.ndarray, bits: int
     return _sigmoid(model.logits(sums, earlier))
 
 
-def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, bits: int = BITS, features: int = FEATURES, n_folds: int = FOLDS) -> list[Linear]:
-    """A model for each column of ``labels``; earlier columns feed later ones out of fold."""
+def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, bits: int = BITS, features: int = FEATURES, n_folds: int = FOLDS, **options) -> list[Linear]:
+    """A model for each column of ``labels``; earlier columns feed later ones out of
+    fold. ``options`` are those of ``fit_linear``."""
     chain, earlier = [], np.zeros((len(docs), 0))
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
-        chain.append(fit_linear(docs, earlier, y, bits, features))
+        chain.append(fit_linear(docs, earlier, y, bits, features, **options))
         if c + 1 == labels.shape[1]:
             break
         out = np.zeros(len(docs))
@@ -134,41 +143,51 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, bit
             held = folds == f
             if held.any():
                 kept = [d for d, h in zip(docs, held) if not h]
-                model = fit_linear(kept, earlier[~held], y[~held], bits, features)
+                model = fit_linear(kept, earlier[~held], y[~held], bits, features, **options)
                 out[held] = _score(model, [d for d, h in zip(docs, held) if h], earlier[held], bits)
         earlier = np.column_stack([earlier, out])
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, bits: int = BITS, features: int = FEATURES) -> list[Linear]:
-    """Fit the chain for ``categories`` (name to a boolean column of ``labels``)
-    on at most ``train_rows`` labelled documents."""
-    chosen = (
-        labels.select(F.col(id_col).alias("id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())])
+def chosen(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str, text: str, train_rows: int) -> DataFrame:
+    """``(id, order, text, y0, y1, ...)``, one row an id: at most ``train_rows``
+    labelled documents, those with the smallest hash of their id.  Of the rows with
+    one id that with the smallest hash of its text is taken.  Which these are is
+    decided on ids and hashes; only their texts move, once an id."""
+    marked = (
+        labels.select(column(id_col).alias("id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())])
         .na.drop().groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
         .withColumn("order", F.xxhash64("id"))
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    # the ids are picked among those that have a document, before any text moves
-    picked = chosen.join(texts.select("id").distinct(), "id").orderBy("order", "id").limit(train_rows)
-    rows = picked.join(texts, "id")
+    texts = docs.select(column(id_col).alias("id"), F.coalesce(column(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    first = texts.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("hash").alias("hash"))
+    picked = materialize(first.join(marked, "id").orderBy("order", "id").limit(train_rows), "toxicity-picked")
+    # at most `train_rows` rows of some numbers; equal texts become one before they are dealt out
+    return texts.join(F.broadcast(picked), ["id", "hash"]).groupBy(*picked.columns).agg(F.min("text").alias("text")).drop("hash")
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, bits: int = BITS, features: int = FEATURES, train_words: int = TRAIN_WORDS) -> list[Linear]:
+    """Fit the chain for ``categories`` (name to a boolean column of ``labels``)
+    on at most ``train_rows`` labelled documents of at most ``train_words`` words each."""
+    rows = chosen(docs, labels, categories, id_col, text, train_rows)
     n = len(categories)
-    schema = f"id {dict(rows.dtypes)['id']}, order bigint, words array<int>, " + ", ".join(f"y{k} int" for k in range(n))
+    ys = [f"y{k}" for k in range(n)]
+    at = rows.columns.index("text")
+    schema = f"id {dict(rows.dtypes)['id']}, order bigint, words array<int>, " + ", ".join(f"{y} int" for y in ys)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in slices(batch, at)):
             col = lambda name: b.column(b.schema.get_field_index(name))  # noqa: E731, B023
-            found = [hashed_words(t or b"", bits) for t in col("text").cast(pa.binary()).to_pylist()]
-            ys = [f"y{k}" for k in range(n)]
+            found = [hashed_words(t, bits)[:train_words] for t in contents(b, at)]
             yield pa.RecordBatch.from_arrays(
                 [col("id"), col("order"), pa.array(found, pa.list_(pa.int32())), *map(col, ys)], ["id", "order", "words", *ys]
             )
 
-    got = rows.mapInArrow(words_of, schema).toArrow().to_pandas()
-    got = got.sort_values(["order", "id"], kind="stable").drop_duplicates("id")
-    docs_ = [np.asarray(w, np.int32) for w in got["words"]]
-    y = got[[f"y{k}" for k in range(n)]].to_numpy() if len(got) else np.zeros((0, n))
-    folds = (got["order"].to_numpy().astype(np.int64) >> 7) % FOLDS if len(got) else np.zeros(0, int)
+    got = rows.mapInArrow(words_of, schema).toArrow().combine_chunks().sort_by([("order", "ascending"), ("id", "ascending")])
+    words = got.column("words").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    docs_ = np.split(words.flatten().to_numpy(), np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))[:-1]) if got.num_rows else []
+    y = np.column_stack([got.column(c).to_numpy() for c in ys]) if got.num_rows else np.zeros((0, n))
+    folds = (got.column("order").to_numpy().astype(np.int64) >> 7) % FOLDS if got.num_rows else np.zeros(0, int)
     return fit_chain(docs_, y, folds, bits, features)
 
 
@@ -178,24 +197,21 @@ def predict(docs: DataFrame, chain: list[Linear], names: list[str], text: str =
     for c, model in enumerate(chain):
         table[model.words, c] = model.weights
     shared = docs.sparkSession.sparkContext.broadcast((table, [(m.earlier, m.bias) for m in chain]))
-    at, columns = docs.columns.index(text), docs.columns
-    schema = docs.select("*", *[F.lit(0.0).alias(n) for n in names]).schema
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         weights, tails = shared.value
         for batch in (p for b in batches for p in slices(b, at)):
             sums = np.zeros((batch.num_rows, len(tails)))
             for i, t in enumerate(contents(batch, at)):
                 if t:
-                    sums[i] = weights[hashed_words(t, bits)].sum(axis=0)
+                    sums[i] = weights[hashed_words(t, bits)].sum(axis=0, dtype=np.float64)
             p = np.zeros((batch.num_rows, 0))
             for c, (earlier, bias) in enumerate(tails):
                 p = np.column_stack([p, _sigmoid(sums[:, c] + p @ earlier + bias)])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(p[:, c]) for c in range(len(tails)))], [*columns, *names]
-            )
+            yield batch, [pa.array(p[:, c]) for c in range(len(tails))]
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, dict.fromkeys(names, DoubleType()), run)
 
 
 def categories() -> dict[str, Column]:
@@ -212,6 +228,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    names = [f"_q_{n}" for n in categories()]
+    names = [fresh(docs.columns, n) for n in categories()]
     scored = predict(docs, train(docs, labels, categories()), names)
-    return scored.filter(F.col("_q_p_toxic") < threshold).select(*docs.columns)
+    return scored.filter(F.col(names[-1]) < threshold).select(*everything(docs))
