@@ -35,7 +35,7 @@ def test_fingerprint_of_blocks(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(3000))
     whole = simhash.fingerprint(text.encode())
     assert whole == plain_fingerprint(text)
-    monkeypatch.setattr(simhash, "_word_blocks", lambda d: (d.split()[i : i + 2] for i in range(0, 3000, 2)))
+    monkeypatch.setattr(simhash, "word_blocks", lambda d: (d.split()[i : i + 2] for i in range(0, 3000, 2)))
     assert simhash.fingerprint(text.encode()) == whole
 
 

@@ -2,12 +2,14 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import lm, sentencepieces, subword
 from quarry.llm.subword import MARK, Lattice, chunks, load
@@ -73,14 +75,14 @@ def test_against_the_library(vocabulary, library):
 def test_round_trip(spark):
     texts = [None, *TEXTS, *random_texts(100)]
     rows = [(i, t, "en", "s", 0, 1, 2, "w", "s", 3, "i") for i, t in enumerate(texts)]
-    docs = docs_of(spark, rows).drop("ids")
+    docs = docs_of(spark, rows)
     coded = sentencepieces.encode(docs)
     back = {r.doc_id: r for r in sentencepieces.decoded(coded).collect()}
     assert all(back[i].decoded == t for i, t in enumerate(texts))
     assert back[0].ids is None and list(back[1].ids) == []
     both = {r.doc_id: r for r in sentencepieces.with_round_trip(docs).collect()}
     assert all(both[i].exact and both[i].ids == back[i].ids for i in back)
-    assert "text" not in both[0] and both[0].size == "s"
+    assert "text" not in both[0].asDict() and both[0].size == "s" and both[0].ids_input == "i" and coded.columns[-2:] == ["ids_input", "ids"]
 
 
 def test_small_cache(vocabulary, monkeypatch):
@@ -117,7 +119,8 @@ def test_forward_and_expected(vocabulary):
     z, _ = lattice.forward(vocabulary.scores)
     assert max(abs(a - plain_forward(w, vocabulary, vocabulary.scores)) for a, w in zip(z, words)) < 1e-9
     counts = np.arange(1, len(words) + 1, dtype=float)
-    found = lattice.expected(vocabulary.scores, counts)
+    found, sums = lattice.expected(vocabulary.scores, counts)
+    assert np.array_equal(sums, z)
     bytes_ = sum(found[i] * len(vocabulary.pieces[i]) for i in vocabulary.normal) + found[vocabulary.byte_ids].sum()
     assert bytes_ == pytest.approx(sum(c * len(w) for c, w in zip(counts, words)))
     # the derivative of log z by a piece's score is its expected number
@@ -157,14 +160,74 @@ def test_scores(spark, vocabulary, frequent):
 
 
 def plain_adapt(counts, ends, vocabulary):
-    total = np.zeros(len(vocabulary.scores))
-    for w, c in counts.items():
-        total += Lattice([MARK + w], vocabulary).expected(vocabulary.scores, np.array([float(c)]))
-    prior = np.exp(vocabulary.scores, where=np.isfinite(vocabulary.scores), out=np.zeros(len(total)))
-    total += lm.PRIOR * prior / prior.sum()
-    whole = total.sum() + ends + 1
-    with np.errstate(divide="ignore"):
-        return np.log(total / whole), math.log((ends + 1) / whole)
+    prior = np.exp(vocabulary.scores, where=np.isfinite(vocabulary.scores), out=np.zeros(len(vocabulary.scores)))
+    scores, before = vocabulary.scores, None
+    for _ in range(lm.MOST_STEPS):
+        total, log = lm.PRIOR * prior / prior.sum(), 0.0
+        for w, c in counts.items():
+            found, z = Lattice([MARK + w], vocabulary).expected(scores, np.array([float(c)]))
+            total, log = total + found, log + c * z[0]
+        whole = total.sum() + ends + 1
+        with np.errstate(divide="ignore"):
+            scores = np.log(total / whole)
+        if before is not None and log - before < lm.TOLERANCE * abs(before):
+            break
+        before = log
+    return scores, math.log((ends + 1) / whole)
+
+
+def test_steps_gain_and_end(spark):
+    rows = [(f"{a}{b}", 3) for a in ("learn", "teach", "work", "build") for b in ("ing", "er", "ed", "s", "")] * 30
+    words = spark.createDataFrame(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    one, _, _ = lm.adapt(words, 10, prior=100.0, most=1)
+    last, _, steps = lm.adapt(words, 10, prior=100.0, most=30)
+    assert 2 < steps < 30
+    z = lambda s: sum(r.n * subword.log_sums([MARK + r.word.encode()], load(), [s])[0][0] for r in words.collect())
+    assert z(last) > z(one) > z(load().scores)
+    again, _, more = lm.adapt(words.repartition(5), 10, prior=100.0, most=30)
+    assert more == steps and np.allclose(again[np.isfinite(again)], last[np.isfinite(last)], atol=1e-6)
+
+
+LONG_WORDS = {
+    "letters": lambda rng: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéà日本語") for _ in range(40_000)),
+    "one letter": lambda rng: "a" * 30_000,
+    "two letters": lambda rng: "".join(rng.choice("ab") for _ in range(30_000)),
+    "no piece": lambda rng: "☃x" * 5000,
+    "marks": lambda rng: "▁ " * 3000 + " " * 9000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG_WORDS)
+def test_long_words_are_cut_as_if_whole(vocabulary, kind, monkeypatch):
+    word = MARK + LONG_WORDS[kind](random.Random(2)).encode().replace(b" ", MARK)
+    whole = Lattice([word], vocabulary)
+    monkeypatch.setattr(subword, "WINDOW", 5000)
+    assert np.array_equal(subword.cut([word, b"a", word], vocabulary)[2], whole.viterbi(vocabulary.scores)[0])
+    assert b"".join(subword._segments(word, vocabulary)) == word
+    z = whole.forward(vocabulary.scores)[0][0]
+    assert subword.log_sums([word], vocabulary, [vocabulary.scores])[0][0] == pytest.approx(z, rel=1e-11)
+    found, total = subword.expected([word], vocabulary, vocabulary.scores, np.array([2.0]))
+    assert np.allclose(found, whole.expected(vocabulary.scores, np.array([2.0]))[0], rtol=1e-6, atol=1e-3) and total == pytest.approx(2 * z)
+
+
+def test_long_texts_in_sections(vocabulary, monkeypatch):
+    texts = [t for t in TEXTS + random_texts(200, 5)] + ["x y" * 200 + " " * 500 + "\n" * 70]
+    encode = lambda: [i.tolist() for i in sentencepieces.Encoder(vocabulary).encode([t.encode() for t in texts])]
+    whole = encode()
+    monkeypatch.setattr(sentencepieces, "SECTION", 7)
+    monkeypatch.setattr(sentencepieces, "sections", lambda t: subword.sections(t, 7))
+    assert encode() == whole
+    assert all(sentencepieces.decode(np.array(i, np.int32), sentencepieces._shown(vocabulary)).decode() == t for i, t in zip(whole, texts))
+
+
+def test_four_megabytes_without_a_space(vocabulary):
+    rng = random.Random(0)
+    text = ("".join(rng.choice("abcdefghij0123456789") for _ in range(1 << 20)) * 4).encode()
+    tracemalloc.start()
+    ids = sentencepieces.Encoder(vocabulary).encode([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sentencepieces.decode(ids, sentencepieces._shown(vocabulary)) == text and peak < 60 * len(text)
 
 
 def test_without_training_rows(spark):
