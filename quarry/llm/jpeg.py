@@ -45,8 +45,8 @@ INTERVAL = 8
 #: First scans: (component, first, last coefficient); their refinements.
 FIRST_SCANS = ((0, 1, 5), (0, 6, 63), (1, 1, 63), (2, 1, 63))
 REFINEMENTS = ((0, 1, 63), (1, 1, 63), (2, 1, 63))
-#: Coefficients that are worked on at a time.
-WORK = 1 << 20
+#: Coefficients that are worked on at a time: streams in step, and arrays that fit a core's cache.
+WORK, NEAR = 1 << 20, 1 << 16
 SCAN_END = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 END_OF_BLOCK, ZERO_RUN = 0x00, 0xF0
@@ -156,7 +156,7 @@ FIRST_TABLE, REFINEMENT_TABLE = _table(_first_weights()), _table(_refinement_wei
 
 
 def _codes(table: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    code, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    code, size = np.zeros(256, np.int32), np.zeros(256, np.int32)
     for s, (c, n) in _huffman(*table).codes.items():
         code[s], size[s] = c, n
     return code, size
@@ -169,6 +169,9 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
+BIT_LENGTH = np.array([i.bit_length() for i in range(256)], np.int32)
+
+
 def _restarts(blocks: np.ndarray) -> np.ndarray:
     """The first block of every interval of files with these numbers of blocks, which follow each other; and the end."""
     count = -(-blocks // INTERVAL)
@@ -181,7 +184,7 @@ def _works(firsts: np.ndarray) -> Iterator[np.ndarray]:
     """Neighbouring intervals that are worked on together: their first blocks and the end of the last."""
     at = 0
     while at < len(firsts) - 1:
-        upto = max(at + 1, int(np.searchsorted(firsts, firsts[at] + WORK // AC_PER_BLOCK, side="right")) - 1)
+        upto = max(at + 1, int(np.searchsorted(firsts, firsts[at] + NEAR // AC_PER_BLOCK, side="right")) - 1)
         yield firsts[at : upto + 1]
         at = upto
 
@@ -205,13 +208,14 @@ def _first_scan(values: np.ndarray, firsts: np.ndarray) -> list[bytes]:
         part = part - part[0]
         count, n = v.shape
         m = np.abs(v) >> 1
-        flat = np.flatnonzero(m)
-        block, k = flat // n, flat % n
+        flat = np.flatnonzero(m).astype(np.int32)
+        block = flat // np.int32(n)
+        k = flat - block * np.int32(n)
         m, negative = m.reshape(-1)[flat], v.reshape(-1)[flat] < 0
         before = np.append(-1, k[:-1])
         before[np.append(True, block[1:] != block[:-1])[: len(k)]] = -1
         run = k - before[: len(k)] - 1
-        size = np.frexp(m.astype(np.float32))[1].astype(np.int64)
+        size = BIT_LENGTH[m]
         symbol = (run & 15) << 4 | size
         zeros, zero_bits = run >> 4, int(size_of[ZERO_RUN])
         length = size_of[symbol] + size
@@ -224,7 +228,7 @@ def _first_scan(values: np.ndarray, firsts: np.ndarray) -> list[bytes]:
         bits += ended * size_of[END_OF_BLOCK]
         begins, ends, lacking = _aligned(bits, part)
         spent = np.cumsum(length + zeros * zero_bits)
-        own = spent - length - (np.cumsum(inner) - inner)[block] + begins[block]  # after the zero runs in front
+        own = spent - length + (begins - np.cumsum(inner) + inner)[block]  # after the zero runs in front
         at, values_, lengths = [own], [value], [length]
         if zeros.any():
             rep = np.repeat(np.arange(len(zeros)), zeros)
@@ -385,6 +389,37 @@ def read_payload(image: Image) -> bytes:
 # -- reading ----------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=256)
+def _tables_of(body: bytes) -> tuple[tuple[int, Huffman], ...]:
+    found, k = [], 0
+    while k < len(body):
+        count = sum(body[k + 1 : k + 17])
+        found.append((body[k], _huffman(body[k + 1 : k + 17], body[k + 17 : k + 17 + count])))
+        k += 17 + count
+    return tuple(found)
+
+
+@functools.lru_cache(maxsize=256)
+def _quantization_of(body: bytes) -> tuple[tuple[int, np.ndarray], ...]:
+    found, k = [], 0
+    while k < len(body):
+        wide = body[k] >> 4
+        found.append((body[k] & 15, np.frombuffer(body, ">u2" if wide else np.uint8, 64, k + 1).astype(np.float32)))
+        k += 1 + 64 * (2 if wide else 1)
+    return tuple(found)
+
+
+@functools.lru_cache(maxsize=256)
+def _scan_of(body: bytes) -> tuple[tuple[int, ...], tuple[int, ...], int, int, int, int]:
+    """Components, keys of their tables, first and last coefficient, bits that were sent before, and that are left."""
+    n = body[0]
+    start, end, approx = body[1 + 2 * n : 4 + 2 * n]
+    if not n or not 0 <= start <= end < 64 or (start and n > 1) or (not start and end):
+        raise ValueError("no such band")
+    kinds = body[2 : 2 + 2 * n : 2]
+    return tuple(body[1 : 1 + 2 * n : 2]), tuple(0x10 | t & 15 if start else t >> 4 for t in kinds), start, end, approx >> 4, approx & 15
+
+
 def _parse(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
@@ -400,22 +435,24 @@ def _parse(data: bytes) -> Image:
             continue
         if marker == 0xD9:
             break
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        size = data[at + 2] << 8 | data[at + 3]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
-        if marker == 0xDB:
-            k = 0
-            while k < len(body):
-                wide = body[k] >> 4
-                values = np.frombuffer(body, ">u2" if wide else np.uint8, 64, k + 1)
-                quantization[body[k] & 15] = values.astype(np.float32)
-                k += 1 + 64 * (2 if wide else 1)
+        if marker == 0xDA:
+            m = SCAN_END.search(data, at)
+            if image is None or m is None:
+                raise ValueError("a scan without a frame or an end")
+            idents, keys, start, end, high, low = _scan_of(body)
+            chosen = [next(c for c in image.components if c.ident == i) for i in idents]
+            used = tuple([tables.get(k) for k in keys])
+            if None in used and (start or not high):
+                raise ValueError("a code table is missing")
+            image.scans.append(Scan(chosen, used, start, end, high, low, interval, data[at : m.start()]))
+            at = m.start()
+        elif marker == 0xDB:
+            quantization.update(_quantization_of(body))
         elif marker == 0xC4:
-            k = 0
-            while k < len(body):
-                count = sum(body[k + 1 : k + 17])
-                tables[body[k]] = _huffman(body[k + 1 : k + 17], body[k + 17 : k + 17 + count])
-                k += 17 + count
+            tables.update(_tables_of(body))
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker == 0xFE:
@@ -424,21 +461,6 @@ def _parse(data: bytes) -> Image:
             image = _frame(body, quantization, comments)
         elif marker in (0xC0, 0xC1, *range(0xC3, 0xD0)):
             raise ValueError("not a progressive file with Huffman codes")
-        elif marker == 0xDA:
-            m = SCAN_END.search(data, at)
-            if image is None or m is None:
-                raise ValueError("a scan without a frame or an end")
-            n = body[0]
-            chosen = [next(c for c in image.components if c.ident == body[1 + 2 * i]) for i in range(n)]
-            start, end, approx = body[1 + 2 * n : 4 + 2 * n]
-            if not 0 <= start <= end < 64 or (start and n > 1) or (not start and end):
-                raise ValueError("no such band")
-            kinds = [body[2 + 2 * i] for i in range(n)]
-            used = tuple(tables.get(0x10 | t & 15 if start else t >> 4) for t in kinds)
-            if None in used and not (start == 0 and approx >> 4):
-                raise ValueError("a code table is missing")
-            image.scans.append(Scan(chosen, used, start, end, approx >> 4, approx & 15, interval, data[at : m.start()]))
-            at = m.start()
     if image is None:
         raise ValueError("no frame")
     return image
@@ -460,38 +482,38 @@ class _Streams:
 
     def __init__(self, scans: list[Scan], blocks: list[np.ndarray] | None):
         """``blocks``: the blocks of each scan in its order, where they are not those of one component."""
-        pieces, count, owner = [], [], []
-        sizes, units = np.zeros(len(scans), np.int64), np.ones(len(scans), np.int64)
+        pieces, count, owner, shapes = [], [], [], []
         for s, scan in enumerate(scans):
             c = scan.components[0]
-            sizes[s] = c.rows * c.cols if blocks is None else len(blocks[s])
-            if len(scan.components) > 1:
-                units[s] = sum(c.h * c.v for c in scan.components)
+            size = c.rows * c.cols if blocks is None else len(blocks[s])
+            shapes.append((size, c.first, c.across, c.cols))
+            unit = sum(c.h * c.v for c in scan.components) if len(scan.components) > 1 else 1
             own = RESTART.split(scan.data) if scan.interval else [scan.data]
-            step = scan.interval * int(units[s]) if scan.interval else int(sizes[s])
-            if len(own) != max(1, -(-int(sizes[s]) // max(step, 1))):
+            step = scan.interval * unit if scan.interval else size
+            if len(own) != max(1, -(-size // max(step, 1))):
                 raise ValueError("restart markers are missing")
             pieces += own
             owner += [s] * len(own)
-            count += [min(step, int(sizes[s]) - k * step) for k in range(len(own))]
+            count += [step] * (len(own) - 1) + [size - (len(own) - 1) * step]
         self.scan, self.count = np.array(owner, np.int64), np.array(count, np.int64)
         if blocks is None:
+            sizes, first, across, cols = np.array(shapes, np.int64).T
             local = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = lambda name: np.repeat([getattr(x.components[0], name) for x in scans], sizes)
-            cols = at("cols")
-            self.block = at("first") + local // cols * at("across") + local % cols
+            cols = np.repeat(cols, sizes)
+            self.block = np.repeat(first, sizes) + local // cols * np.repeat(across, sizes) + local % cols
         else:
             self.block = np.concatenate(blocks)
         self.begin = np.cumsum(self.count) - self.count
         plain = [p.replace(b"\xff\0", b"\xff") + b"\xff" * 8 for p in pieces]
         ends = np.cumsum([len(p) for p in plain])
-        self.bit = 8 * (ends - [len(p) for p in plain])
-        b = np.frombuffer(b"".join(plain) + b"\xff" * 4, np.uint8).astype(np.uint32)
-        self.words = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+        number = np.int32 if 8 * int(ends[-1]) < 1 << 31 else np.int64
+        self.bit = (8 * (ends - [len(p) for p in plain])).astype(number)
+        b = np.frombuffer(b"".join(plain) + b"\xff" * 4, np.uint8).astype(np.int32)
+        self.words = b[:-2] << 16 | b[1:-1] << 8 | b[2:]  # the 24 bits from each byte on
 
     def bits(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """The ``n`` bits, up to 16, at some places."""
-        return (self.words[at >> 3].astype(np.int64) >> (32 - (at & 7) - n)) & ((1 << n) - 1)
+        return (self.words[at >> 3] >> (24 - (at & 7) - n)) & ((1 << n) - 1)
 
     def groups(self, n: int) -> Iterator[np.ndarray]:
         """Streams that are read together, by the size of what they hold."""
@@ -507,19 +529,23 @@ class _Streams:
         """All symbols of some streams, in their order: how many there are of each
         stream, the symbols, and where what follows their codes begins.  ``extra`` tells the bits after a
         symbol.  The table of a stream is ``table_of`` it, or (None) that of the place of a symbol, in turn."""
-        steps = [np.where(t.length > 0, t.length.astype(np.int64) + extra[t.symbol], 0) for t in tables]
-        if table_of is not None:
-            stacked = np.stack(steps)
-            kinds = table_of[which]
-        at, live, found = self.bit[which].copy(), np.arange(len(which)), []
+        steps = [np.where(t.length > 0, t.length.astype(np.int32) + extra[t.symbol], 0).astype(self.bit.dtype) for t in tables]
+        one = len(tables) == 1
+        if table_of is not None and not one:
+            stacked, kinds = np.stack(steps), table_of[which]
+        words, at, live, found = self.words, self.bit[which], np.arange(len(which), dtype=np.int32), []
         while len(live):
-            window = (self.words[at >> 3] >> (16 - (at & 7)).astype(np.uint32)) & 0xFFFF
-            if table_of is None:
+            window = words[at >> 3]
+            window >>= 8 - (at & 7)
+            window &= 0xFFFF
+            if one:
+                step = steps[0][window]
+            elif table_of is None:
                 step = steps[len(found) % len(steps)][window]
             else:
-                step = steps[0][window] if len(steps) == 1 else stacked[kinds[live], window]
-            ok = step > 0  # else the stream has ended: it is filled up with ones, which are no code
-            if not ok.all():
+                step = stacked[kinds[live], window]
+            if not step.all():  # some streams have ended: they are filled up with ones, which are no code
+                ok = step > 0
                 live, at, step = live[ok], at[ok], step[ok]
             found.append((live, at))
             at = at + step
@@ -527,22 +553,25 @@ class _Streams:
         for live, _ in found:
             count[live] += 1
         begin = np.cumsum(count) - count
-        places = np.zeros(int(count.sum()), np.int64)
+        places = np.zeros(int(count.sum()), self.bit.dtype)
         for k, (live, at) in enumerate(found):
             places[begin[live] + k] = at
         window = self.bits(places, 16)
-        owner = np.repeat(np.arange(len(which)), count)
-        if table_of is None:
-            turn = (np.arange(len(places)) - begin[owner]) % len(tables)
+        if one:
+            length, symbol = tables[0].length[window], tables[0].symbol[window]
         else:
-            turn = kinds[owner]
-        length, symbol = np.stack([t.length for t in tables]), np.stack([t.symbol for t in tables])
-        return count, symbol[turn, window].astype(np.int64), places + length[turn, window]
+            owner = np.repeat(np.arange(len(which)), count)
+            turn = (np.arange(len(places)) - begin[owner]) % len(tables) if table_of is None else kinds[owner]
+            length = np.stack([t.length for t in tables])[turn, window]
+            symbol = np.stack([t.symbol for t in tables])[turn, window]
+        return count, symbol, places + length
 
 
 _AFTER = np.arange(256)
 #: Bits after a symbol of a first AC scan: a value's, or those of a number of blocks that end.
-AC_EXTRA = np.where(_AFTER & 15, _AFTER & 15, np.where(_AFTER >> 4 < 15, _AFTER >> 4, 0))
+AC_EXTRA = np.where(_AFTER & 15, _AFTER & 15, np.where(_AFTER >> 4 < 15, _AFTER >> 4, 0)).astype(np.int32)
+#: Coefficients that a symbol goes on by.
+AC_STEP = np.where(_AFTER & 15, (_AFTER >> 4) + 1, np.where(_AFTER >> 4 < 15, 0, 16)).astype(np.int32)
 
 
 def _tables(scans: list[Scan]) -> tuple[list[Huffman], np.ndarray]:
@@ -551,7 +580,7 @@ def _tables(scans: list[Scan]) -> tuple[list[Huffman], np.ndarray]:
 
 
 def _signed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.where((size > 0) & (value >> np.maximum(size - 1, 0) == 0), value - (1 << size) + 1, value)
+    return np.where(value << 1 >> size, value, value - (1 << size) + 1)
 
 
 def _read_first(store: np.ndarray, scans: list[Scan], start: int, end: int, low: int) -> None:
@@ -559,36 +588,60 @@ def _read_first(store: np.ndarray, scans: list[Scan], start: int, end: int, low:
     streams, n = _Streams(scans, None), end - start + 1
     tables, of = _tables(scans)
     for which in streams.groups(n):
-        count, symbol, after = streams.symbols(which, tables, of[streams.scan], AC_EXTRA)
-        if not count.all():
+        counts, symbols, afters = streams.symbols(which, tables, of[streams.scan], AC_EXTRA)
+        if not counts.all():
             raise ValueError("a scan ends early")
-        run, size = symbol >> 4, symbol & 15
-        value = streams.bits(after, AC_EXTRA[symbol])
-        ends = (size == 0) & (run < 15)
-        step = np.where(size > 0, run + 1, np.where(ends, 0, 16))
-        blocks = np.where(ends, (1 << run) + value, 0)
-        first = np.zeros(len(symbol), bool)  # of a run of symbols up to an end of blocks
-        opening = np.cumsum(count) - count
-        first[opening] = True
-        first[1:] |= ends[:-1]
-        heads = np.flatnonzero(first)
-        tails = np.append(heads[1:], len(symbol)) - 1
-        upto = np.cumsum(step)
-        base = upto[heads] - step[heads]
-        taken = (upto[tails] - base) // n + blocks[tails]
-        owner = np.searchsorted(opening, heads, side="right") - 1
-        sums = np.cumsum(taken) - taken
-        begun = sums - sums[np.searchsorted(heads, opening)][owner]  # blocks of the stream before
-        if not np.array_equal(np.bincount(owner, weights=taken, minlength=len(which)).astype(np.int64), streams.count[which]):
-            raise ValueError("a scan has other blocks than the frame")
-        part = np.cumsum(first) - 1
-        place = begun[part] * n + upto - base[part]  # after the coefficient
-        if ((place - step) % n + step > n).any():
-            raise ValueError("a run leaves its block")
+        upto, at = np.cumsum(counts), 0
+        while at < len(which):  # some streams, all of their symbols together
+            low_, more = int(upto[at] - counts[at]), int(np.searchsorted(upto, upto[at] + NEAR, side="right"))
+            part = slice(low_, int(upto[more - 1]))
+            _place(store, streams, which[at:more], counts[at:more], symbols[part], afters[part], start, n, low)
+            at = more
+
+
+def _place(store: np.ndarray, streams: _Streams, which: np.ndarray, count: np.ndarray, symbol: np.ndarray, after: np.ndarray, start: int, n: int, low: int) -> None:
+    """The coefficients that all symbols of some streams stand for."""
+    size, step = (symbol & 15).astype(np.int32), AC_STEP[symbol]
+    value = streams.bits(after, AC_EXTRA[symbol])
+    first = np.zeros(len(symbol), bool)  # of the symbols up to an end of blocks
+    opening = np.cumsum(count) - count
+    first[opening] = True
+    ends = np.flatnonzero(step == 0)
+    first[1:][ends[: len(ends) - (len(ends) > 0 and ends[-1] == len(symbol) - 1)]] = True
+    blocks = np.zeros(len(symbol), np.int64)
+    blocks[ends] = (1 << (symbol[ends] >> 4).astype(np.int64)) + value[ends]
+    heads = np.flatnonzero(first)
+    tails = np.append(heads[1:], len(symbol)) - 1
+    upto = np.cumsum(step, dtype=np.int32)
+    base = upto[heads] - step[heads]
+    taken = (upto[tails] - base) // n + blocks[tails]
+    owner = np.searchsorted(opening, heads, side="right") - 1
+    sums = np.cumsum(taken) - taken
+    begun = sums - sums[np.searchsorted(heads, opening)][owner]  # blocks of the stream before
+    if not np.array_equal(np.bincount(owner, weights=taken, minlength=len(which)).astype(np.int64), streams.count[which]):
+        raise ValueError("a scan has other blocks than the frame")
+    # from a symbol's place in its run to its place among the blocks of these streams
+    block_begin = np.cumsum(streams.count[which]) - streams.count[which]
+    shift = ((block_begin[owner] + begun) * n - base).astype(np.int32)
+    place = upto + np.repeat(shift, tails - heads + 1)  # after the coefficient
+    if ((place - step) // n != (place - (step > 0)) // n).any():
+        raise ValueError("a run leaves its block")
+    if len(ends):
         hit = size > 0
-        place, stream = place[hit] - 1, owner[part[hit]]
-        block = streams.block[streams.begin[which][stream] + place // n]
-        store[block, start + place % n] = _signed(value[hit], size[hit]) << low
+        place, value, size = place[hit], value[hit], size[hit]
+    elif (symbol == ZERO_RUN).any():
+        hit = symbol != ZERO_RUN
+        place, value, size = place[hit], value[hit], size[hit]
+    band = np.zeros(int(streams.count[which].sum()) * n, np.int16)
+    band[place - 1] = _signed(value, size) << low
+    blocks_of = _blocks_of(streams, which)
+    store[blocks_of, start : start + n] = band.reshape(-1, n)
+
+
+def _blocks_of(streams: _Streams, which: np.ndarray) -> np.ndarray:
+    count = streams.count[which]
+    inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return streams.block[np.repeat(streams.begin[which], count) + inner]
 
 
 def _read_refinement(store: np.ndarray, scans: list[Scan], start: int, end: int, low: int) -> None:
@@ -599,10 +652,8 @@ def _read_refinement(store: np.ndarray, scans: list[Scan], start: int, end: int,
     for which in streams.groups(n):
         count = streams.count[which]
         begin = np.cumsum(count) - count
-        inner = np.arange(int(count.sum())) - np.repeat(begin, count)
-        block = streams.block[np.repeat(streams.begin[which], count) + inner]
-        band = store[block, start : end + 1]
-        flat = band.reshape(-1).astype(np.int64)
+        block = _blocks_of(streams, which)
+        flat = store[block, start : end + 1].reshape(-1)
         known = flat != 0
         empty = np.append(np.flatnonzero(~known), np.full(17, len(flat) + n))  # places without a value yet
         before = np.append(0, np.cumsum(~known))  # how many of these there are before a place
@@ -636,9 +687,9 @@ def _read_refinement(store: np.ndarray, scans: list[Scan], start: int, end: int,
             inner = np.arange(int(passed.sum())) - np.repeat(np.cumsum(passed) - passed, passed)
             hit = streams.bits(np.repeat(bits, passed) + inner, 1) == 1
             where = np.flatnonzero(known)[(np.repeat(first, passed) + inner)[hit]]
-            flat[where] += np.sign(flat[where]) << low
+            flat[where] += (np.sign(flat[where]) << low).astype(np.int16)
             target, sign = (np.concatenate(x) for x in zip(*fresh))
-            flat[target] = (2 * sign - 1) << low
+            flat[target] = ((2 * sign - 1) << low).astype(np.int16)
         store[block, start : end + 1] = flat.reshape(-1, n)
 
 
@@ -663,6 +714,7 @@ def _read_dc(store: np.ndarray, scans: list[Scan], low: int) -> None:
         count, symbol, after = streams.symbols(which, tables, None, np.minimum(_AFTER, 15))
         if not np.array_equal(count, streams.count[which]):
             raise ValueError("a scan has other blocks than the frame")
+        symbol = symbol.astype(np.int32)
         change = _signed(streams.bits(after, symbol), symbol)
         owner = np.repeat(np.arange(len(which)), count)
         inner = np.arange(len(symbol)) - np.repeat(np.cumsum(count) - count, count)
