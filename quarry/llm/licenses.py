@@ -20,8 +20,7 @@ shared by a longer run of another licence too is part of that one (BSD-3-Clause
 holds the conditions of BSD-2-Clause).  The other template is then sought before
 and after it.
 
-The full texts are in ``license_texts``; AGPL-3.0 and the CC BY family have
-notices only.
+The full texts are in ``license_texts``; the CC BY family has notices only.
 
 Defined cases: a null text counts as empty and has no licence; of equal
 coefficients the template first by name wins; repeated rows are repeated; an empty table
@@ -103,6 +102,15 @@ def _full(name: str) -> str:
     return pkgutil.get_data("quarry.llm", f"license_texts/{name}.txt").decode()
 
 
+def _affero() -> str:
+    """The full AGPL-3.0: the text of GPL-3.0 with a preamble and a section 13 of its own, under its own name."""
+    gpl, preamble, section = _full("GPL-3.0"), _full("AGPL-3.0-preamble"), _full("AGPL-3.0-section-13")
+    head, terms = gpl[: gpl.index("Preamble")], gpl[gpl.index("TERMS AND CONDITIONS") :]
+    before, after = terms[: terms.index("  13. Use with")], terms[terms.index("  14. Revised Versions") :]
+    named = [x.replace("GENERAL PUBLIC", "AFFERO GENERAL PUBLIC").replace("GNU General", "GNU Affero General") for x in (head, before, after)]
+    return f"{named[0]}Preamble\n\n{preamble}\n{named[1]}{section}{named[2]}"
+
+
 def _gnu(kind: str, version: int) -> str:
     return (
         f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as"
@@ -112,7 +120,7 @@ def _gnu(kind: str, version: int) -> str:
 
 #: Public licence texts and the notices by which they are named.
 TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _gnu("Affero ", 3)],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _gnu("Affero ", 3), _affero()],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
@@ -145,6 +153,8 @@ TEMPLATES = {
         _full("GPL-3.0"),
     ],
     "ISC": [_ISC, _ISC + _ISC_END],
+    "LGPL-2.0": ["This work is licensed under the GNU Library General Public License, version 2.", _full("LGPL-2.0")],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", _full("LGPL-2.1")],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", _gnu("Lesser ", 3), _full("LGPL-3.0")],
     "MIT": [
         "Released under the MIT License.",

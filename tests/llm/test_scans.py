@@ -79,6 +79,9 @@ def test_full_texts_and_notices_inside_other_text():
         full = licenses.TEMPLATES[name][-1]
         for text in (f"Copyright (c) 2020 Some One\n\n{full}", f"{full.replace('. ', '.' + chr(10) + chr(10))}\n\nint main;"):
             assert scan(text) == [(name, 1.0)]
+    for name in ("AGPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "GPL-2.0", "GPL-3.0", "Apache-2.0"):
+        full = licenses.TEMPLATES[name][-1].replace("Free Software Foundation", "Other Makers Club")
+        assert scan(f"Copyright 2020 Some One\n\n{full}\n\nint main;")[0][0] == name, name
     words = "one two three four five six seven eight nine ten " * 3
     apache = licenses.TEMPLATES["Apache-2.0"][1]
     other = " ".join(f"w{i}" for i in range(25))
