@@ -1,4 +1,17 @@
-"""The corpus pipeline: each stage takes the documents that the one before it kept."""
+"""The corpus pipeline: each stage takes the documents that the one before it kept.
+
+Every stage but the last returns the columns of the table it is given, whatever
+they are called; the last returns ``doc_id``, ``source``, ``ids`` and ``exact``.
+
+Defined cases.  Null texts: not toxic, one group with empty texts in the
+deduplication (fingerprint zero), no secrets, size 0, which the mix doesn't take.
+Empty texts likewise.  Null ids: kept last among equals in a group; they hash as
+"null" in the mix.  Null sources: an owner and a source of their own.  Very long
+texts: worked on whole, in bounded memory.  Ties: of a group the smallest id
+stays, of equal ids the first address.  Repeated rows: one stays.  Labels without a
+document, null or contradictory: left out, or the larger counts.  An empty table,
+or no labels: an empty result, or no document is toxic.
+"""
 
 from __future__ import annotations
 
