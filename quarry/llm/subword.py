@@ -45,7 +45,7 @@ SECTION_END = re.compile(rb"\n|(?<! ) ")
 SECTION = 1 << 20
 LONG = 1 << 12
 WINDOW = 1 << 16
-BATCH_BYTES = 1 << 18
+BATCH_BYTES = 1 << 16
 UNIT = 1 << 32
 
 
@@ -383,6 +383,14 @@ def _segments(word: bytes, v: Vocabulary) -> Iterator[bytes]:
 
 def _parts(words: list[bytes], v: Vocabulary) -> Iterator[tuple[list[int], Lattice | bytes]]:
     """All words in their order, as lattices of segments with the number of each one's word, or as a stretch."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    if not len(ends) or int(np.diff(ends, prepend=0).max()) <= LONG:  # no word is long
+        at = 0
+        while at < len(words):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+            yield list(range(at, upto)), Lattice(words[at:upto], v)
+            at = upto
+        return
     owners, batch, size = [], [], 0
     for i, word in enumerate(words):
         for part in [word] if len(word) <= LONG else _segments(word, v):
