@@ -62,6 +62,11 @@ class Vocabulary:
     def trie(self) -> DoubleArray:
         return DoubleArray([self.pieces[i] for i in self.normal], self.normal)
 
+    @functools.cached_property
+    def apart(self) -> bool:
+        """Whether no piece reaches over the zero byte between two words of a batch."""
+        return not any(b"\0" in self.pieces[i] for i in self.normal)
+
     @functools.cached_property
     def shown(self) -> list[bytes]:
         """What each id stands for in a text."""
@@ -212,7 +217,9 @@ class Lattice:
         wide[starts] = width
         for k in range(t.longest):
             nxt = t.base[node] + buffer[at + k] + 1
-            ok = (t.check[nxt] == node) & (at + k < self.last[owner[at]])
+            ok = t.check[nxt] == node
+            if not v.apart:
+                ok &= at + k < self.last[owner[at]]
             at, node = at[ok], nxt[ok]
             if not len(at):
                 break
@@ -225,7 +232,9 @@ class Lattice:
         found.append((lost, ends, np.full(len(lost), -1, np.int32)))
         start, end, piece = (np.concatenate(x) for x in zip(*found))
         offset = end - self.first[owner[start]]
-        order = np.lexsort((start, end, offset))
+        # by offset, end and start, in one number
+        span = v.trie.longest + 8
+        order = np.argsort((offset * (self.size + 1) + end) * span + span - (end - start))
         self.start, self.end, self.piece, offset = start[order], end[order], piece[order], offset[order]
         cuts = np.flatnonzero(np.concatenate(([True], offset[1:] != offset[:-1]))) if len(offset) else np.empty(0, int)
         self.levels = list(zip(cuts, np.append(cuts[1:], len(offset)))) if len(offset) else []
@@ -312,7 +321,7 @@ class Lattice:
         beta[self.last] = 0
         owner = np.searchsorted(self.first, self.start, side="right") - 1
         back = self.start - self.first[owner]
-        order = np.lexsort((self.start, -back))
+        order = np.argsort((back.max(initial=0) - back) * (self.size + 1) + self.start)
         back, start, end, w_ = back[order], self.start[order], self.end[order], w[order]
         cuts = np.flatnonzero(np.concatenate(([True], back[1:] != back[:-1]))) if len(back) else []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(back)) if len(back) else []):

@@ -210,6 +210,13 @@ def test_long_words_are_cut_as_if_whole(vocabulary, kind, monkeypatch):
     assert np.allclose(found, whole.expected(vocabulary.scores, np.array([2.0]))[0], rtol=1e-6, atol=1e-3) and total == pytest.approx(2 * z)
 
 
+def test_pieces_with_zero_bytes_stay_inside_their_words():
+    pieces = [b"a", b"a\0b", b"b", b"\0", *[bytes([i]) for i in range(256)]]
+    v = subword.Vocabulary(pieces, np.array([-2.0, -1.0, -3.0, -4.0] + [-9.0] * 256), np.arange(4), np.arange(4, 260))
+    assert not v.apart and load().apart
+    assert [i.tolist() for i in subword.cut([b"a", b"b", b"a\0b"], v)] == [[0], [2], [1]]
+
+
 def test_long_texts_in_sections(vocabulary, monkeypatch):
     texts = [t for t in TEXTS + random_texts(200, 5)] + ["x y" * 200 + " " * 500 + "\n" * 70]
     encode = lambda: [i.tolist() for i in sentencepieces.Encoder(vocabulary).encode([t.encode() for t in texts])]
