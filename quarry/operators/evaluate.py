@@ -2,8 +2,9 @@
 
 The interpolated precision at recall x is the largest precision at a recall
 above x.  A point of recall r serves the samples i / 256 below r, so it is put
-into the bucket of the last of them; a running maximum from the right over the
-256 buckets of a topic gives its curve.  Topics with under two points have none.
+into the bucket of the last of them; a running maximum from the right over a
+topic's buckets, each of which serves the samples down to the next one, gives its
+curve.  Topics with under two points have none.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ def hits(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
     Only judged documents get a rank.  Hits are counted by bands of scores; those
     in a band with a judged document are numbered within it, over ranges
     (``ranges``), and the counts of the bands above are added.  So no task sorts a
-    topic's hits, of which there may be as many as documents."""
+    topic's hits, of which there may be as many as documents.  Topics without a
+    judgment are left out before they are scored, if ``ranking`` is a plan."""
     judged = materialize(qrels.distinct(), "qrels")
     # few judgments meet the hits where these are; more are dealt out with them
     few = F.broadcast if judged.count() <= BROADCAST_ROWS else (lambda df: df)
     answers = judged.groupBy("qid").agg(F.count("*").alias("answers"))
-    ranking = materialize(ranking, "ranking")  # read three times
+    ranking = materialize(ranking.join(few(answers.select("qid")), "qid", "left_semi"), "ranking")  # read three times
 
     def scored(rows: DataFrame) -> DataFrame:
         rows = rows if "weight" in rows.columns else by_weight(rows)
@@ -67,21 +69,23 @@ def valid(pts: DataFrame) -> DataFrame:
 
 
 def curves(pts: DataFrame) -> DataFrame:
-    """``(qid, weight, i, precision)`` for i from 0 to 255 of every valid topic."""
-    n = F.count("*").over(Window.partitionBy("qid", "weight"))
+    """``(qid, weight, i, precision)`` for i from 0 to 255 of every valid topic.
+    One shuffle, by topic and weight, serves the counts, the buckets and the maxima."""
+    topic = Window.partitionBy("qid", "weight")
+    down = topic.orderBy(F.col("i").desc())
     bucket = (F.ceil(F.col("recall") * SAMPLES) - 1).cast("long")
     best = (
-        pts.withColumn("n", n).filter("n >= 2").withColumn("i", F.least(bucket, F.lit(SAMPLES - 1)))
+        pts.withColumn("n", F.count("*").over(topic)).filter("n >= 2").withColumn("i", F.least(bucket, F.lit(SAMPLES - 1)))
         .groupBy("qid", "weight", "i").agg(F.max("precision").alias("best"))
     )
-    grid = (
-        best.select("qid", "weight").distinct()
-        .select("qid", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SAMPLES - 1).cast("long"))).alias("i"))
+    steps = best.select(
+        "qid", "weight", F.col("i").alias("upto"), (F.coalesce(F.lead("i").over(down), F.lit(-1)) + 1).alias("begin"),
+        # the samples above the last bucket are its row's too, with nothing found there
+        F.when(F.row_number().over(down) == 1, F.lit(SAMPLES - 1)).otherwise(F.col("i")).cast("long").alias("end"),
+        F.max("best").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("best"),
     )
-    above = Window.partitionBy("qid", "weight").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(best, ["qid", "weight", "i"], "left").select(
-        "qid", "weight", "i", F.coalesce(F.max("best").over(above), F.lit(0.0)).alias("precision")
-    )
+    samples = steps.select("*", F.explode(F.sequence(F.col("begin"), F.col("end"))).alias("i"))
+    return samples.select("qid", "weight", "i", F.when(F.col("i") <= F.col("upto"), F.col("best")).otherwise(0.0).alias("precision"))
 
 
 def average(curve: DataFrame) -> DataFrame:
@@ -106,7 +110,7 @@ def report_of(pts: DataFrame) -> DataFrame:
     """``(weight, topics, points, map)``"""
     sizes = pts.groupBy("qid", "weight").agg(F.count("*").alias("n")).filter("n >= 2")
     sizes = sizes.groupBy("weight").agg(F.count("*").alias("topics"), F.sum("n").alias("points"))
-    return sizes.join(score(average(curves(pts))), "weight")
+    return sizes.join(F.broadcast(score(average(curves(pts)))), "weight")  # a row a weight
 
 
 def report(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
