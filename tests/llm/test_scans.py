@@ -250,6 +250,21 @@ def test_secrets_query_keeps_credentials_of_copies(spark, tmp_path):
     assert [(r.n_live, r.n_copied, r.repositories, r.owners) for r in found] == [(1, 0, "1", "1")] * 4
 
 
+def test_one_credential_in_several_places(spark):
+    value, other = "Zx81kQ92mN73pL64vT55", "aB3dE6gH9jK2mN5pQ8sT"
+    texts = [f"text 0 token = {value}.", f"text 1 token={value}", f"text 2 see {value}, so", f"text 3 x={value} then", f"text 4 sig={value}==", f"mine {other}"]
+    rows = [(i, t, "en", f"o{i}", 0, 1, 2, "w", "s", 3, "i") for i, t in enumerate(texts)]
+    rows += [(10 + i, *rows[5][1:3], f"o{i}", *rows[5][4:]) for i in range(3)]  # copies
+    for once in (True, False):
+        got = {r.id: r for r in secrets.find_secrets(docs_of(spark, rows), copies_once=once).collect()}
+        assert [got[i].spans for i in range(5)] == ["assign:7:36", "assign:7:33", "", "", ""]
+        for i in (0, 1):
+            assert (got[i].n_live, got[i].repositories, got[i].owners, got[i].all_repositories, got[i].all_owners) == (0, "5", "5", "5", "5")
+        for i in (5, 10, 11, 12):
+            assert (got[i].n_live, got[i].spans, got[i].repositories, got[i].owners) == ((1, "token:5:25", "1", "1") if once else (0, "", "", ""))
+            assert not once or (got[i].all_repositories, got[i].all_owners) == ("4", "4")
+
+
 # -- toxicity
 
 
