@@ -311,7 +311,9 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", t
     """``docs`` with every live credential replaced by ``mark``; ``length``, if
     it is a column, follows the new text.  Texts without one stay as they are."""
     rows, key = addressed(docs)
-    scanned = materialize(scan(rows, repository, owner, text, column(key)), "secrets")
+    # the rest needs only rows with candidates; gathered, they are a few files instead of one a split of the input
+    hits = scan(rows, repository, owner, text, column(key)).filter(F.size("found") > 0)
+    scanned = materialize(hits.hint("rebalance"), "secrets")
     marks = fresh(rows.columns, "spans")
     spans = verdicts(scanned, copied_owners, copied_repositories, copies_once).select(
         F.col("row").alias(key), F.filter("spans", lambda s: s["live"]).alias(marks)

@@ -162,6 +162,15 @@ def test_ownership_and_redaction(spark):
     assert secrets.redact(docs_of(spark, [])).collect() == []
 
 
+def test_redaction_keeps_rows_with_candidates_only(spark, monkeypatch):
+    rows = [(i, f"my token = q{i}zxKvwpm" if i % 10 == 3 else f"plain {i}", "en", f"o{i}", 0, 1, 2, "w", "s", 3, "i") for i in range(60)]
+    tables, write = {}, secrets.materialize
+    monkeypatch.setattr(secrets, "materialize", lambda df, tag: tables.setdefault(tag, write(df, tag)))
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, rows).repartition(6)).collect()}
+    assert clean == {r[0]: "my [SECRET]" if r[0] % 10 == 3 else r[1] for r in rows}
+    assert tables["secrets"].count() == 6 and len(tables["secrets"].inputFiles()) == 1
+
+
 def test_copies_count_once_and_repositories_count(spark):
     one, hot, few = "0c1b2a3f4e5d6c7b8a9f0e1d2c3b4a5f", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "Zx81kQ92mN73pL64vT55"
     rows = [(i, f"one text with {one} and {few}", "en", f"o{i}", 0, 1, 2, "w", "s", 3, "i") for i in range(1, 6)]  # copies of a document
